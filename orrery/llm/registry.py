@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, toxicity, urlfilter
+from pyspark.sql import functions as F
+
+from . import bpe, embdup, langid, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -20,6 +22,15 @@ def op3_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_embeddings(spark, sf_dir):
+    return embdup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op5_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_urls(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), urlfilter.RULES)
 
@@ -28,7 +39,7 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_language": op3_language, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity}
 
 ORACLES = {
     "op7_urls": r"""
