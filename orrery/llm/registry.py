@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, embdup, langid, simhash, toxicity, urlfilter
+from . import bpe, decontam, embdup, langid, pii, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
 
@@ -39,7 +43,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity}
+def op10_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_decontamination": op2_decontamination, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES = {
     "op7_urls": r"""
