@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embdup, langid, pii, simhash, toxicity, urlfilter
+from . import bpe, decontam, embdup, langid, pii, simhash, suffixdup, toxicity, urlfilter
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffixes(spark, sf_dir):
+    return suffixdup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_urls(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), urlfilter.RULES)
 
@@ -47,7 +51,7 @@ def op10_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_decontamination": op2_decontamination, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op2_decontamination": op2_decontamination, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_suffixes": op6_suffixes, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES = {
     "op7_urls": r"""
