@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embdup, langid, pii, simhash, suffixdup, toxicity, urlfilter
+from . import bpe, decontam, embdup, langid, lm, pii, simhash, suffixdup, toxicity, urlfilter
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_urls(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), urlfilter.RULES)
 
 
+def op8_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -51,7 +55,7 @@ def op10_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_decontamination": op2_decontamination, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_suffixes": op6_suffixes, "op7_urls": op7_urls, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op2_decontamination": op2_decontamination, "op3_language": op3_language, "op4_embeddings": op4_embeddings, "op5_simhash": op5_simhash, "op6_suffixes": op6_suffixes, "op7_urls": op7_urls, "op8_lm": op8_lm, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES = {
     "op7_urls": r"""
