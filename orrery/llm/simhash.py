@@ -172,3 +172,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     found = components(links(distinct))
     classes = cut(distinct.join(found, distinct.rep == found.node, "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id")), "classes")
     return prints.join(classes, prints.fp == classes["of"], "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without those that are like one with a lesser doc_id.
+
+    Of rows that repeat a doc_id and its fingerprint one stays; so does a row with a null doc_id that is like none other."""
+    found = cut(near_duplicates(docs.select("doc_id", "text"), shingle), "found")
+    gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id", "fp")
+    fp = fingerprint_column("text", shingle)
+    lost = cut(gone.distinct(), "gone")
+    kept = docs.join(lost.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("component_id").alias("m")).filter("c > 1 or doc_id is null")
+    odd = cut(odd.select(F.col("doc_id").alias("_id"), "m"), "odd")
+    if odd.isEmpty():
+        return kept
+    # repeated and null doc_ids: decide by the row's own fingerprint
+    again = docs.withColumn("_fp", fp).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")))
+    classes = cut(found.groupBy(F.col("fp").alias("_of")).agg(F.min("component_id").alias("_c")), "classes")
+    again = again.join(classes, F.col("_fp") == F.col("_of"))
+    keep = again.filter("_c is null or doc_id = _c")
+    one = keep.withColumn("_key", F.coalesce("doc_id", F.col("_fp"))).dropDuplicates(["doc_id", "_key", "_c"]).select(*docs.columns)
+    return kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns).unionByName(one)
