@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "volume_minimum_slice"
+
+for _name in ("volume", "state", "runs", "geometry", "lang", "sources"):
+    _plan = importlib.import_module(f"{__package__}.plans.{_name}")
+    QUERIES |= _plan.Q
+    ORACLES |= _plan.S
