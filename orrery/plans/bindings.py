@@ -63,8 +63,8 @@ VOL = """vol AS (
   USING (x, y, z))"""
 EMB = "emb AS (SELECT unnest(range(len(embedding))) AS x, vec_id AS y, 0::BIGINT AS z, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 MUT = """mut AS (SELECT user_id AS origin, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
-  epoch_ms(ts) * 65536 AS hlc, event_type || '.' || (user_id % 10) AS path, value, event_id FROM events)"""
+  (epoch_us(ts) // 1000) * 65536 AS hlc, event_type || '.' || (user_id % 10) AS path, value, event_id FROM events)"""
 RUN = """run AS (SELECT user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick,
-  epoch_ms(ts) AS ms, value, event_type, event_id FROM events)"""
+  (epoch_us(ts) // 1000) AS ms, value, event_type, event_id FROM events)"""
 CELLS = """cells AS (SELECT DISTINCT l_orderkey % 500 AS a, l_partkey % 500 AS b, l_suppkey % 500 AS c FROM lineitem
   WHERE l_orderkey % 500 <> l_partkey % 500 AND l_partkey % 500 <> l_suppkey % 500 AND l_orderkey % 500 <> l_suppkey % 500)"""
