@@ -143,7 +143,7 @@ def hlc_parts(c: Column) -> list[Column]:
 def hlc_run(rows: DataFrame, by: Sequence[str], wall: str, order: Sequence[str]) -> DataFrame:
     """Monotone clock of each group: the wall time if it advances, else the last one counted up; a fold in order."""
     log = F.array_sort(F.collect_list(F.struct(*order, F.col(wall).alias("_w"))))
-    step = lambda acc, x: F.concat(acc, F.array(F.greatest(hlc(x["_w"]), F.coalesce(F.element_at(acc, -1), F.lit(-1)) + 1)))
+    step = lambda acc, x: F.concat(acc, F.array(F.greatest(hlc(x["_w"]), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 1)))
     return rows.groupBy(*by).agg(F.aggregate(log, F.array().cast("array<long>"), step).alias("clocks"))
 
 
