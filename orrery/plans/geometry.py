@@ -110,7 +110,7 @@ add("lod_suffix_key", lambda s, d: read(s, d, "part").select("p_partkey", L.suff
 add("lod_priority", lambda s, d: r6(read(s, d, "part").select("p_partkey", L.priority(F.col("p_size") * 1.0, F.col("p_retailprice")).alias("score"), L.screen_error_px(F.col("p_size") / 100, F.col("p_retailprice"), 1080, 1.0).alias("px"), L.switch_radius_m(F.col("p_size") / 100, 2.0, 1080, 1.0).alias("radius")), "score", "px", "radius"), "SELECT p_partkey, round(p_size / (1 + (p_retailprice / 1000) * (p_retailprice / 1000)), 6) AS score, round(p_size / 100.0::DOUBLE / p_retailprice * (1080 / (2 * tan(0.5::DOUBLE))), 6) AS px, round(p_size / 100.0::DOUBLE * (1080 / (2 * tan(0.5::DOUBLE))) / 2, 6) AS radius FROM part")
 add("lod_ladder", lambda s, d: L.monotone(read(s, d, "part").select((F.col("p_partkey") % 50).alias("asset"), F.col("p_partkey").alias("rung"), F.col("p_size").cast("double").alias("world_error_m"))), "SELECT p_partkey % 50 AS asset, p_partkey AS rung, max(p_size::DOUBLE) OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS world_error_m FROM part")
 add("lod_pyramid", lambda s, d: L.pyramid(volume(s, d), 3).groupBy("level").agg(F.count("*").alias("n"), F.sum("value").alias("total")), """WITH g AS (SELECT i % 7 AS x, (i // 7) % 16 AS y, i // 112 AS z FROM range(1792) t(i)), s AS (SELECT l_linenumber - 1 AS x, l_suppkey % 16 AS y, l_partkey % 16 AS z, sum(l_quantity) AS a FROM lineitem GROUP BY ALL), v AS (SELECT x, y, z, coalesce(a, 0.0) AS a FROM g LEFT JOIN s USING (x, y, z))
-SELECT k AS level, count(*) AS n, sum(a) AS total FROM v, range(3) r(k) WHERE x % (2 ** k)::INT = 0 AND y % (2 ** k)::INT = 0 AND z % (2 ** k)::INT = 0 GROUP BY k""")
+SELECT k::INT AS level, count(*) AS n, sum(a) AS total FROM v, range(3) r(k) WHERE x % (2 ** k)::INT = 0 AND y % (2 ** k)::INT = 0 AND z % (2 ** k)::INT = 0 GROUP BY k""")
 Q["lod_solve"] = lambda s, d: L.solve(read(s, d, "part").select((F.col("p_partkey") % 20).alias("frame"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), F.col("p_size").cast("double").alias("c0"), (F.col("p_size") * 2.0).alias("c1"), F.lit(1.0).alias("c2")), (500.0, 900.0, 40.0))
 Q["lod_select_rung"] = lambda s, d: L.select_rung(read(s, d, "events").select((F.col("user_id") % 40).alias("asset"), F.col("event_id").alias("step"), F.col("value").alias("distance")), [20.0, 60.0, 150.0])
 

@@ -35,7 +35,7 @@ program("lang_dict", "part", "p_partkey", "(get-attr (collections.dict-merge (di
 program("lang_lists", "part", "p_partkey", "(str (car (cdr (list p_size 7 8))) \"/\" (length (cons 1 '(2 3))) \"/\" (nth (set-nth (list 1 2 3) 1 p_size) 1) \"/\" (nth (del-nth (list 4 5 6) 0) 0))", "'7/3/' || p_size || '/5'")
 program("lang_url", "conversations", "conv_id", "(sha256-hex (url-encode (string.substring text 0 60)))", "sha256(replace(replace(url_encode(substr(text, 1, 60)), '+', '%20'), '*', '%2A'))")
 program("lang_sha256", "documents", "doc_id", "(sha256-hex text)", "sha256(text)")
-program("lang_lengths", "documents", "doc_id", "(- (string.byte-length text) (string.length text))", "strlen(text) - length(text)")
+program("lang_lengths", "documents", "doc_id", "(- (string.byte-length text) (string.length text))", "(strlen(text) - length(text))::INT")
 program("lang_predicates", "pages", "page_id", "(and (string.contains url \"example\") (string.starts-with url \"https\") (not (string.ends-with url \".html\")))", "contains(url, 'example') AND starts_with(url, 'https') AND NOT ends_with(url, '.html')")
 program("lang_bytes", "documents", "doc_id", "(bytes.byte-at (string.encode text) 0)", "CASE WHEN text <> '' THEN ('0x' || substr(hex(encode(text)), 1, 2))::BIGINT END")
 add("lang_json", lambda s, d: read(s, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("value")), "SELECT event_id, (props->>'$.k')::BIGINT AS value FROM events")

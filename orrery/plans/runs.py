@@ -24,7 +24,7 @@ add("run_sum_to", lambda s, d: r6(R.sum_to(run_ticks(s, d), 25, ["agent"]), "tot
 add("run_index", lambda s, d: R.tick_at(run_ticks(s, d).withColumn("t", F.col("ms") / 1000), s.range(40).select((F.col("id") % 20).alias("agent"), (F.lit(1704067200.0) + F.col("id") * 63000).alias("at")), ["agent"]), f"""WITH {RUN}, q AS (SELECT i % 20 AS agent, 1704067200.0::DOUBLE + i * 63000 AS "at" FROM range(40) t(i))
 SELECT q.agent, q."at", coalesce(max(tick) FILTER (ms / 1000.0::DOUBLE - 1e-6 <= q."at"), min(tick), 0) AS index FROM q LEFT JOIN run r ON r.agent = q.agent GROUP BY ALL""")
 add("run_legs", lambda s, d: R.leg_of(run_ticks(s, d), run_ticks(s, d).filter("event_type = 'purchase'").select("agent", F.col("tick").alias("start"), F.col("event_id").alias("leg")), ["agent"]), f"""WITH {RUN} SELECT agent, tick, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY agent ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS leg FROM run""")
-add("run_stack", lambda s, d: R.stack([run_ticks(s, d).filter("agent = 3"), run_ticks(s, d).filter("agent = 4")]).select("arm", "tick", "value"), f"WITH {RUN} SELECT agent - 3 AS arm, tick, value FROM run WHERE agent IN (3, 4) AND tick <= (SELECT least(max(tick) FILTER (agent = 3), max(tick) FILTER (agent = 4)) FROM run)")
+add("run_stack", lambda s, d: R.stack([run_ticks(s, d).filter("agent = 3"), run_ticks(s, d).filter("agent = 4")]).select("arm", "tick", "value"), f"WITH {RUN} SELECT (agent - 3)::INT AS arm, tick, value FROM run WHERE agent IN (3, 4) AND tick <= (SELECT least(max(tick) FILTER (agent = 3), max(tick) FILTER (agent = 4)) FROM run)")
 
 
 def agents(s, d):

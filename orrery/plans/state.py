@@ -43,7 +43,7 @@ add("state_interest", lambda s, d: T.interested(mutations(s, d), ["click", "purc
 add("state_normalize_path", lambda s, d: mutations(s, d).select("event_id", T.normalize_path(F.concat(F.lit(".."), "path", F.lit("."))).alias("path")), f"WITH {MUT} SELECT event_id, trim('..' || path || '.', '.') AS path FROM mut")
 add("state_lww", lambda s, d: T.newest(mutations(s, d)).select("path", "origin", "sequence", "hlc", "value"), f"WITH {MUT} SELECT path, origin, sequence, hlc, value FROM mut QUALIFY row_number() OVER (PARTITION BY path ORDER BY hlc DESC, origin DESC, sequence DESC) = 1")
 add("state_conflicts", lambda s, d: T.conflicts(mutations(s, d), 3).select("path", "origin", "sequence", "rank"), f"""WITH {MUT}, l AS (SELECT *, lag(origin) OVER (PARTITION BY path ORDER BY hlc, origin, sequence) AS o FROM mut)
-SELECT path, origin, sequence, row_number() OVER (PARTITION BY path ORDER BY hlc DESC, origin DESC, sequence DESC) AS rank FROM l WHERE o <> origin QUALIFY rank <= 3""")
+SELECT path, origin, sequence, row_number() OVER (PARTITION BY path ORDER BY hlc DESC, origin DESC, sequence DESC)::INT AS rank FROM l WHERE o <> origin QUALIFY rank <= 3""")
 add("state_authority", lambda s, d: T.prefix_join(tree(s, d), nation_rules(s, d), ["path"]).select("path", "prefix", "rule"), f"WITH {TREE}, {RULES}, {LONGEST} SELECT path, prefix, rule FROM m WHERE k = 1")
 
 
