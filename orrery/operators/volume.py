@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..model import AXES, finite, grid, in_box, span, world
 
-V = F.col("value")
+def val() -> Column:
+    return F.col("value")
+
 
 
 def paired(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +45,7 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
 
 def combine(a: DataFrame, b: DataFrame, op: str, keys: Sequence[str] = ()) -> DataFrame:
     """add, subtract, difference, average, mask or inverse_mask of two volumes; rows stay, masked values become 0."""
-    return paired(a, b, keys).withColumn("value", BINARY[op](V, F.col("other"))).drop("other")
+    return paired(a, b, keys).withColumn("value", BINARY[op](val(), F.col("other"))).drop("other")
 
 
 def mapped(v: DataFrame, value: Column) -> DataFrame:
@@ -51,26 +53,26 @@ def mapped(v: DataFrame, value: Column) -> DataFrame:
 
 
 def scale(v: DataFrame, factor: float) -> DataFrame:
-    return mapped(v, V * factor)
+    return mapped(v, val() * factor)
 
 
 def negate(v: DataFrame) -> DataFrame:
-    return mapped(v, -V)
+    return mapped(v, -val())
 
 
 def clip(v: DataFrame, threshold: float) -> DataFrame:
     """Values below the threshold stay, others become 0."""
-    return mapped(v, F.when(V < threshold, V).otherwise(F.lit(0.0)))
+    return mapped(v, F.when(val() < threshold, val()).otherwise(F.lit(0.0)))
 
 
 def clamp_min(v: DataFrame, least: float) -> DataFrame:
-    return mapped(v, F.when(V < least, F.lit(float(least))).otherwise(V))
+    return mapped(v, F.when(val() < least, F.lit(float(least))).otherwise(val()))
 
 
 def fill(v: DataFrame, value: float, window: Sequence[int] | None = None) -> DataFrame:
     """A constant everywhere, or within an index window (x0, y0, z0, x1, y1, z1), ends included."""
     inside = in_box(window) if window else F.lit(True)
-    return mapped(v, F.when(inside, F.lit(float(value))).otherwise(V))
+    return mapped(v, F.when(inside, F.lit(float(value))).otherwise(val()))
 
 
 def put(v: DataFrame, at: Sequence[int], value: float) -> DataFrame:
@@ -87,7 +89,7 @@ def normalize(v: DataFrame, low: float = 0.0, high: float = 1.0, keys: Sequence[
     """Affine map of the value range to [low, high]; a constant volume becomes low. One aggregate, whose row (or row for each volume) is joined back."""
     ends = v.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     both = v.join(ends, list(keys)) if keys else v.crossJoin(F.broadcast(ends))  # one row
-    value = F.when(F.col("_hi") > F.col("_lo"), low + (V - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (high - low)).otherwise(F.lit(float(low)))
+    value = F.when(F.col("_hi") > F.col("_lo"), low + (val() - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (high - low)).otherwise(F.lit(float(low)))
     return both.withColumn("value", value).drop("_lo", "_hi")
 
 
@@ -107,7 +109,7 @@ def histogram(v: DataFrame, bins: int = 256, keys: Sequence[str] = ()) -> DataFr
     """Equal-width bins over the value range, half open, the maximum in the last; empty bins have count 0."""
     ends = v.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     both = v.join(ends, list(keys)) if keys else v.crossJoin(F.broadcast(ends))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((V - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((val() - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0))
     counts = both.groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = ends.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
@@ -160,14 +162,14 @@ def composite(a: DataFrame, b: DataFrame, offset: Sequence[int], op: Callable[[C
     """Second volume laid over the first at an offset: copy, add, subtract or a function of both values where they overlap."""
     f = {"copy": lambda x, y: y, "add": lambda x, y: x + y, "subtract": lambda x, y: x - y}.get(op, op)
     moved = b.select(*((F.col(c) + offset[i]).alias(c) for i, c in enumerate(AXES)), F.col("value").alias("other"))
-    return a.join(moved, list(AXES), "left").withColumn("value", F.when(F.col("other").isNotNull(), f(V, F.col("other"))).otherwise(V)).drop("other")
+    return a.join(moved, list(AXES), "left").withColumn("value", F.when(F.col("other").isNotNull(), f(val(), F.col("other"))).otherwise(val())).drop("other")
 
 
 def neighbours(v: DataFrame, steps: Sequence[tuple[Sequence[str], str]] = ((("y", "z"), "x"), (("x", "z"), "y"), (("x", "y"), "z")), keys: Sequence[str] = ()) -> DataFrame:
     """Values of the six face neighbours: xm, xp, ym, yp, zm, zp; at an edge the voxel's own value. Three sorts, no row is repeated."""
     for across, along in steps:
         w = Window.partitionBy(*keys, *across).orderBy(along)
-        v = v.withColumns({along + "m": F.coalesce(F.lag("value").over(w), V), along + "p": F.coalesce(F.lead("value").over(w), V)})
+        v = v.withColumns({along + "m": F.coalesce(F.lag("value").over(w), val()), along + "p": F.coalesce(F.lead("value").over(w), val())})
     return v
 
 
@@ -187,9 +189,9 @@ def diffusion(v: DataFrame, sweeps: int, k: float = 3.0, rate: float = 0.16, key
         flow = F.lit(0.0)
         for a in AXES:
             for side in "mp":
-                d = F.col(a + side) - V
+                d = F.col(a + side) - val()
                 flow = flow + F.exp(-(d / k) * (d / k)) * d
-        v = n.withColumn("value", V + rate * flow).select(*keys, *AXES, "value")
+        v = n.withColumn("value", val() + rate * flow).select(*keys, *AXES, "value")
         if keep and s % 5 == 4:
             v = keep(v)
     return v
@@ -211,7 +213,7 @@ def bilateral(v: DataFrame, radiometric: float, spatial: float, radius: int) ->
     """Bilateral filter with a 256-entry radiometric table over the value range (index truncated), in double precision."""
     ends = v.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     w = windowed(v, radius).crossJoin(F.broadcast(ends))
-    step = F.when(F.col("_hi") > F.col("_lo"), F.floor(F.abs(F.col("other") - V) * 255 / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
+    step = F.when(F.col("_hi") > F.col("_lo"), F.floor(F.abs(F.col("other") - val()) * 255 / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
     d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
     weight = F.exp(-(step * step) / (2 * radiometric**2)) * F.exp(-d2 / (2 * spatial**2))
     return w.groupBy(*AXES).agg((F.sum(weight * F.col("other")) / F.sum(weight)).alias("value"))
@@ -229,7 +231,7 @@ def ssim(a: DataFrame, b: DataFrame, window: int = 3, sigma: float = 1.5, top: f
     pair = paired(a, b)
     r = window // 2
     sent = pair.withColumn("_o", F.explode(F.array(*(F.struct(*(F.lit(d).alias("d" + c) for c, d in zip(AXES, o)), F.lit(math.exp(-sum(d * d for d in o) / (2 * sigma**2))).alias("w")) for o in offsets(r)))))
-    w, p, q = F.col("_o.w"), V, F.col("other")
+    w, p, q = F.col("_o.w"), val(), F.col("other")
     m = sent.groupBy(*((F.col(c) + F.col("_o.d" + c)).alias(c) for c in AXES)).agg(F.sum(w).alias("w"), F.sum(w * p).alias("p"), F.sum(w * q).alias("q"), F.sum(w * p * p).alias("pp"), F.sum(w * q * q).alias("qq"), F.sum(w * p * q).alias("pq"))
     m = m.join(pair.select(*AXES), list(AXES), "left_semi")
     mp, mq = F.col("p") / F.col("w"), F.col("q") / F.col("w")
@@ -251,7 +253,7 @@ def gather(v: DataFrame, points: DataFrame, dims: Sequence[int], keep: Sequence[
         f = F.col("p" + a) - F.col("b" + a)
         weight = weight * F.when(F.col("_t." + a) == 1, f).otherwise(1 - f)
     taps = taps.select(*keep, *((F.col("b" + a) + F.col("_t." + a)).alias(a) for a in AXES), weight.alias("w")).filter("w <> 0")
-    return taps.join(v.select(*AXES, "value"), list(AXES)).groupBy(*keep).agg(F.sum(F.col("w") * V).alias("value"))
+    return taps.join(v.select(*AXES, "value"), list(AXES)).groupBy(*keep).agg(F.sum(F.col("w") * val()).alias("value"))
 
 
 def interpolate(v: DataFrame, points: DataFrame, box: Sequence[float], dims: Sequence[int], key: str) -> DataFrame:
@@ -284,7 +286,7 @@ def rotate_z(v: DataFrame, degrees: float, dims: Sequence[int]) -> DataFrame:
     c, s = math.cos(math.radians(-degrees)), math.sin(math.radians(-degrees))
     cx, cy = (dims[0] - 1) / 2, (dims[1] - 1) / 2
     x, y = F.col("x") - cx, F.col("y") - cy
-    points = grid(v.sparkSession, *dims).select(*(F.col(a).alias("o" + a) for a in AXES), (x * c - y * s + cx).alias("px"), (x * s + y * c + cy).alias("py"), F.col("z").cast("double").alias("pz"))
+    points = grid(v.sparkSession, *dims).select(*(F.col(a).alias("o" + a) for a in AXES), F.round(x * c - y * s + cx, 9).alias("px"), F.round(x * s + y * c + cy, 9).alias("py"), F.col("z").cast("double").alias("pz"))
     got = gather(v, points, dims, ["ox", "oy", "oz"])
     every = grid(v.sparkSession, *dims).withColumnsRenamed({a: "o" + a for a in AXES})
     return every.join(got, ["ox", "oy", "oz"], "left").select(*(F.col("o" + a).alias(a) for a in AXES), F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -344,7 +346,7 @@ def back_project(p: DataFrame, angles: Sequence[float], dims: Sequence[int]) ->
     g = g.withColumn("at", at).filter(F.col("at").between(0, dims[0] - 1)).withColumn("u0", F.least(F.floor("at"), F.lit(max(0, dims[0] - 2))).cast("long"))
     taps = g.withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.when(F.col("d") == 1, F.col("at") - F.col("u0")).otherwise(1 - F.col("at") + F.col("u0")))
     taps = taps.select("angle", *AXES, (F.col("u0") + F.col("d")).alias("u"), "w")
-    return taps.join(p, ["angle", "u", "z"]).groupBy(*AXES).agg((F.sum(F.col("w") * V) / len(angles)).alias("value"))
+    return taps.join(p, ["angle", "u", "z"]).groupBy(*AXES).agg((F.sum(F.col("w") * val()) / len(angles)).alias("value"))
 
 
 def bricked(v: DataFrame, size: int = 32) -> DataFrame:
