@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sample, training
 
-DOCS, FEATURES, THRESHOLD, REMEMBERED = 12_000, 6000, 0.3, 600_000
+DOCS, FEATURES, THRESHOLD, REMEMBERED = 12_000, 1000, 0.3, 600_000
 #: Strength of the weight decay and of the counterfactual penalty; passes of the optimiser.
 DECAY, SWAP, STEPS = 1e-3, 1.0, 400
 #: Pairs of identity terms that are exchanged.
@@ -98,7 +98,7 @@ def fit(rows: list[tuple[list[str], int]], pairs: list[tuple[list[str], list[str
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], n), -50, 50)))
         e = (p - y) / n
-        g = np.bincount(c, e[r], len(w)) + DECAY * w / max(1, n) * 10
+        g = np.bincount(c, e[r], len(w)) + DECAY * w
         if m:  # the penalty on the difference between a text and its exchanged form
             d = (np.bincount(ra, w[ca], m) - np.bincount(rb, w[cb], m)) / m
             g += 2 * SWAP * (np.bincount(ca, d[ra], len(w)) - np.bincount(cb, d[rb], len(w)))
