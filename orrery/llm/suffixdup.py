@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 from .runs import grouped
 
-LENGTH, GRAM, GROUP, SEED = 400, 100, 256, 3
+LENGTH, GRAM, GROUP, SEED = 400, 100, 4096, 3
 #: Window starts and bytes that are worked on at a time; a block of the index.
 STARTS, BLOCK = 1 << 20, 1 << 19
 BASE = 0x9E3779B97F4A7C15
