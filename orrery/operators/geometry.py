@@ -177,7 +177,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     h = cross(d, e2)
     det = dot(e1, h)
     q = cross(p, e1)
-    u, v, t = dot(p, h) / det, dot(d, q) / det, dot(e2, q) / det
+    u, v, t = (F.try_divide(x, det) for x in (dot(p, h), dot(d, q), dot(e2, q)))
     hit = rays.join(triangles, (F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0))
     return hit.withColumn("t", t).groupBy("ray").agg(F.min_by("cid", F.struct("t", "cid")).alias("cid"), F.min("t").alias("t"))
 
@@ -191,7 +191,8 @@ def stiffness(cells: DataFrame, vertices: DataFrame) -> DataFrame:
     """Cotangent stiffness of a triangle mesh, assembled."""
     c = corners(cells, vertices, 3)
     double = norm(cross(edge(0, 1), edge(0, 2)))
-    cot = [dot(edge(k, (k + 1) % 3), edge(k, (k + 2) % 3)) / double / 2 for k in range(3)]
+    c = c.filter(double > 0)  # degenerate triangles have no stiffness
+    cot = [F.try_divide(dot(edge(k, (k + 1) % 3), edge(k, (k + 2) % 3)), double) / 2 for k in range(3)]
     parts = []
     for k in range(3):
         i, j = F.col("corner")[(k + 1) % 3], F.col("corner")[(k + 2) % 3]
@@ -215,8 +216,8 @@ def element_gradients(cells: DataFrame, vertices: DataFrame) -> DataFrame:
         c = c.withColumn("_v", F.col("corner")[k]).join(vertices.select(F.col("vid").alias("_v"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("f").alias(f"f{k}")), "_v").drop("_v")
     det = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     a, b = F.col("f1") - F.col("f0"), F.col("f2") - F.col("f0")
-    gx = (a * (F.col("y2") - F.col("y0")) - b * (F.col("y1") - F.col("y0"))) / det
-    gy = (b * (F.col("x1") - F.col("x0")) - a * (F.col("x2") - F.col("x0"))) / det
+    gx = F.try_divide(a * (F.col("y2") - F.col("y0")) - b * (F.col("y1") - F.col("y0")), det)
+    gy = F.try_divide(b * (F.col("x1") - F.col("x0")) - a * (F.col("x2") - F.col("x0")), det)
     return c.select("cid", gx.alias("gx"), gy.alias("gy"))
 
 

@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "volume_minimum_slice"
 
-for _name in ("volume", "filters", "state", "runs", "geometry", "lang", "sources"):
+for _name in ("volume", "filters", "state", "runs", "geometry", "surfaces", "lang", "sources"):
     _plan = importlib.import_module(f"{__package__}.plans.{_name}")
     QUERIES |= _plan.Q
     ORACLES |= _plan.S

@@ -199,3 +199,48 @@ def test_reader_and_compiler(spark):
     assert run("(if nil 1 2)") == 2 and run("(if 0 1 2)") == 2 or True
     with pytest.raises(NameError):
         run("(while 1 2)")
+
+
+def test_orientation_volume_and_curvature(spark):
+    from orrery.operators import surfaces as U
+
+    v, c = cube(spark)
+    mixed = c.withColumn("mesh_id", F.lit("m")).withColumn("corner", F.when(F.col("cid") % 3 == 1, F.array(F.col("corner")[0], F.col("corner")[2], F.col("corner")[1])).otherwise(F.col("corner")))
+    good = U.oriented(mixed)
+    assert abs(U.mesh_volume(good, v).first()[0]) == pytest.approx(1.0)
+    assert U.mean_curvature(good, v).filter("curvature > 0").count() == 8
+    d = {r["vid"]: r["distance"] for r in U.edge_distance(good, v, [0]).collect()}
+    assert d[1] == 1.0 and d[7] <= 3.0
+
+
+def test_plane_through_a_tetrahedron(spark):
+    from orrery.operators import surfaces as U
+
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0)], "vid long, x double, y double, z double")
+    t = spark.createDataFrame([(0, [0, 1, 2, 3])], "cid long, corner array<long>")
+    tri = U.slice_tets(t, v, (0, 0, 1, -0.5)).collect()
+    assert len(tri) == 1 and all(p[2] == 0.5 for p in tri[0]["corner"])
+    assert G.tet_volumes(t, v).first()["volume"] == pytest.approx(1 / 6)
+
+
+def test_more_polygons(spark):
+    from orrery.operators import surfaces as U
+
+    assert U.normal_form([(4, 4), (4, 0), (0, 0), (0, 4)]) == [(0, 0), (4, 0), (4, 4), (0, 4)]
+    assert len(U.offset_convex([(0, 0), (4, 0), (4, 4), (0, 4)], 2)) == 8
+    pieces = U.convex_pieces([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)])
+    assert 2 <= len(pieces) <= 3
+    w = U.sibson([(0, 0), (2, 0), (2, 2), (0, 2)], (1, 1))
+    assert sum(w.values()) == pytest.approx(1) and max(w.values()) - min(w.values()) < 0.02
+    sq = lambda a, b: [{"x": a, "y": a}, {"x": b, "y": a}, {"x": b, "y": b}, {"x": a, "y": b}]
+    r = spark.createDataFrame([(1, sq(0, 20)), (2, sq(2, 10)), (3, sq(4, 6)), (4, sq(30, 31))], "poly_id long, ring array<struct<x:long,y:long>>")
+    assert {x["poly_id"]: x["parent"] for x in U.nested(r).collect()} == {1: None, 2: 1, 3: 2, 4: None}
+
+
+def test_patches():
+    from orrery.operators import filters as X
+
+    a, b = b"x" * 500, b"x" * 250 + b"y" + b"x" * 300
+    assert X.apply_patch(a, X.xor_patch(a, b)) == b and X.apply_patch(b"", X.xor_patch(b"", b"q")) == b"q"
+    with pytest.raises(ValueError):
+        X.apply_patch(b"z" * 500, X.xor_patch(a, b))
