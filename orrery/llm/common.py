@@ -46,7 +46,10 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    """Columns of a table. Documents in fewer splits than there are cores (one small file) are dealt out, as work on them is long."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if name == "documents" and df.rdd.getNumPartitions() < n else df
 
 
 def bucket(doc_id: str, mod: int) -> Column:
