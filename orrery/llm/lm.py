@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, held_out, sample, training
 
-SINGLE, FORMS, ROWS, TOP, DOCS, ROUNDS, RATE, PARTS = 96, 31, 1 << 13, 200_000, 1500, 12, 0.5, 8
+SINGLE, FORMS, ROWS, TOP, DOCS, ROUNDS, RATE, PARTS = 96, 31, 1 << 12, 200_000, 1500, 12, 0.5, 8
 CLASSES = SINGLE + FORMS + 1
 END, BEGIN = 1, 2
 REMEMBERED, STEP = 600_000, 1 << 14
@@ -178,6 +178,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(hashes if end else hashes[:-1], ns if end else ns[:-1], singles, totals, int(n), int(distinct))
 
 
+def added(f: pd.DataFrame) -> pd.DataFrame:
+    """Sum of one slice of the parts' gradients."""
+    return pd.DataFrame({"k": [f["k"].iloc[0]], "g": [np.sum([np.frombuffer(g, np.float32) for g in f["g"]], axis=0).tobytes()], "n": [f["n"].sum()]})
+
+
 def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """Weights from the documents' texts by ROUNDS distributed gradient steps."""
     spark = docs.sparkSession
@@ -197,15 +202,15 @@ def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
                     total += gradient(held.value, features(h, sizes), classes)
                     n += len(h)
             if n:
-                yield pd.DataFrame({"g": [total.tobytes()], "n": [n]})
+                cuts = np.array_split(total, PARTS)
+                yield pd.DataFrame({"k": range(PARTS), "g": [c.tobytes() for c in cuts], "n": [n] + [0] * (PARTS - 1)})
 
-        g, n = np.zeros_like(weights), 0
-        for r in part.select("text").repartition(PARTS).mapInPandas(summed, "g binary, n long").toLocalIterator():
-            g += np.frombuffer(r["g"], np.float32).reshape(g.shape)
-            n += r["n"]
+        parts = part.select("text").repartition(PARTS).mapInPandas(summed, "k int, g binary, n long").groupBy("k").applyInPandas(added, "k int, g binary, n long")
+        rows = sorted(parts.collect())  # one gradient's size, whatever the number of parts
+        n = sum(r["n"] for r in rows)
         if not n:
             break
-        g /= n
+        g = np.frombuffer(b"".join(r["g"] for r in rows), np.float32).reshape(weights.shape) / np.float32(n)
         squares += g * g
         weights = weights + np.float32(RATE) * g / np.sqrt(squares)
         held.unpersist()
