@@ -52,9 +52,11 @@ class Tokens:
     """Hashes and forms of tokens, in arrays by the number of a token, with a bounded table."""
 
     def __init__(self):
+        self.turn = 0
         self.clear()
 
     def clear(self):
+        self.turn += 1
         self.known: dict[bytes, int] = {}
         self.hashes, self.forms = np.array([END], np.int64), np.array([FORMS], np.int64)
 
@@ -148,15 +150,15 @@ def count(docs: DataFrame) -> DataFrame:
 
     def counted(batches_):
         for b in batches_:
-            tokens, total, size = Tokens(), np.zeros(1, np.int64), 0
+            tokens, total, turn = Tokens(), np.zeros(1, np.int64), 1
             for run in batches(b.column("text").to_pylist()):
                 numbers, _ = tokens.numbers(run)
-                if len(tokens.known) < size:  # the table was full and began anew
+                if tokens.turn > turn and len(total) > 1:  # the table was full and began anew
                     yield counted_rows(hashes, forms, total)
                     total = np.zeros(1, np.int64)
                 add = np.bincount(numbers, minlength=len(tokens.hashes))
                 add[: len(total)] += total
-                total, size, hashes, forms = add, len(tokens.known), tokens.hashes, tokens.forms
+                total, turn, hashes, forms = add, tokens.turn, tokens.hashes, tokens.forms
             yield counted_rows(tokens.hashes, tokens.forms, total)
 
     return docs.select("text").mapInArrow(counted, "h long, form int, n long").groupBy("h").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
