@@ -27,7 +27,7 @@ from .common import batches
 NONE, SHIFT = 1 << 60, 17
 MASK = (1 << SHIFT) - 1
 #: Parts above which a word is merged from a heap, and words remembered by a worker.
-LONG, REMEMBERED = 256, 600_000
+LONG, REMEMBERED = 256, 200_000
 #: Digest columns of a document.
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, LEAST, RADIUS, BLOCKS, ITEMS, REMEMBERED = 5, 0.8, 19, 8, 2_000_000, 600_000
+SHINGLE, LEAST, RADIUS, BLOCKS, ITEMS, REMEMBERED = 5, 0.8, 19, 8, 2_000_000, 200_000
 words_of = re.compile(r"[^\W_]+").findall
 OUT = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 

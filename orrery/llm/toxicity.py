@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sample, training
 
-DOCS, FEATURES, THRESHOLD, REMEMBERED = 12_000, 1000, 0.3, 600_000
+DOCS, FEATURES, THRESHOLD, REMEMBERED = 12_000, 1000, 0.3, 200_000
 #: Strength of the weight decay and of the counterfactual penalty; passes of the optimiser.
 DECAY, SWAP, STEPS = 1e-3, 1.0, 400
 #: Pairs of identity terms that are exchanged.
