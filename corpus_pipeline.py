@@ -17,8 +17,14 @@ HELD_OUT = 4
 ORACLE_SQL = None
 
 
+def lean(spark):
+    """Smaller Arrow batches: a worker holds fewer texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier scores at or above its threshold go."""
+    lean(spark)
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(training("doc_id", HELD_OUT))
     model = toxicity.train(docs.select("doc_id", "text").filter(training("doc_id", HELD_OUT)), labels)
     return docs.filter(toxicity.score_column(spark, model) < toxicity.THRESHOLD)
@@ -31,17 +37,20 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
+    lean(spark)
     return docs.filter(~decontam.held_column(docs, table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 def redact_personal_data(spark, docs, sf_dir):
     """Personal data in texts become the names of their kinds in angle brackets; n_chars follows the text."""
+    lean(spark)
     out = docs.withColumn("text", pii.redact_column(spark, pii.train(docs.select("doc_id", "text"))))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark, docs, sf_dir):
     """Number of tokens of each document, and digests of its ids and of the text that they decode to."""
+    lean(spark)
     return bpe.digests(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
