@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, decontam, pii, simhash, toxicity
+from orrery.llm import bpe, decontam, nearcopies, pii, toxicity
 from orrery.llm.common import cut, table, training
 from orrery.llm.registry import vocabulary
 
@@ -31,8 +31,9 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of documents linked by their fingerprints, the one with the least doc_id stays; a row with a null doc_id goes if any other document is like it."""
-    return simhash.one_of_each(docs)
+    """Of each group of documents linked by five-word shingles of Jaccard similarity 0.8, the one with the least doc_id stays; a row with a null doc_id goes if any other document is like it."""
+    lean(spark)
+    return nearcopies.one_of_each(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from orrery.llm import components, embdup, lm, simhash, suffixdup
+from orrery.llm import components, embdup, lm, nearcopies, simhash, suffixdup
 
 
 def reach(n, pairs):
@@ -88,6 +88,52 @@ def test_simhash_nulls_repeats_and_one_of_each(spark, docs_of, prose):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def grams(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def alike(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def changed(text, n, seed):
+    r, w = random.Random(seed), text.split()
+    for k in r.sample(range(len(w)), n):
+        w[k] = f"new{seed}x{k}"
+    return " ".join(w)
+
+
+def test_near_copies_equal_brute_force(spark, docs_of, prose, edge):
+    texts = [prose(300, k) for k in range(12)] + [changed(prose(300, k % 6), n, 10 * n + k) for k in range(12) for n in (1, 2, 4, 7)] + [prose(300, 3) + " end", *edge]
+    ids = [k * 7 % 211 for k in range(len(texts))]
+    order = np.argsort(ids).tolist()
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if alike(texts[order[i]], texts[order[j]])]
+    want = reach(len(ids), pairs)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs_of(texts, ids)).collect()}
+    assert [got[ids[o]] for o in order] == [ids[order[w]] for w in want]
+
+
+def test_near_copies_nulls_and_repeats(spark, docs_of, prose):
+    t = [prose(200, k) for k in range(5)]
+    texts = [t[0], t[0], t[1], changed(t[1], 2, 1), changed(t[0], 2, 2), t[2], changed(t[2], 2, 3), t[3], t[4], changed(t[1], 1, 4)]
+    df = docs_of(texts, [4, 4, 7, 9, None, None, None, None, 4, 4])
+    kept = [(r["doc_id"], r["text"]) for r in nearcopies.one_of_each(df).collect()]
+    nulls = [x for i, x in kept if i is None]
+    assert len(nulls) == 2 and t[3] in nulls and set(nulls) <= {t[2], texts[6], t[3]}
+    assert sorted((i, x) for i, x in kept if i is not None) == sorted([(4, t[0]), (4, texts[9]), (4, t[4])])
+    assert nearcopies.one_of_each(df).columns == df.columns and nearcopies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_pipeline_drops_near_copies_with_changed_words(spark, docs_of, prose):
+    import corpus_pipeline as p
+
+    texts = [prose(300, 1), changed(prose(300, 1), 4, 5), prose(300, 2), changed(prose(300, 2), 60, 6)]
+    assert not alike(texts[2], texts[3]) and alike(texts[0], texts[1])
+    assert sorted(r["doc_id"] for r in p.drop_near_duplicates(spark, docs_of(texts), None).collect()) == [0, 2, 3]
+
+
 def brute_links(vecs, labels):
     n = len(vecs)
     fit = [v is not None and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for v, lab in zip(vecs, labels)]
