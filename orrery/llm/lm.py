@@ -4,12 +4,12 @@ A token's probability is that of its class given the two tokens before it, times
 frequent training tokens are classes of their own, the end of a text is one, and the others fall into FORMS classes by the
 hash of their last letters. A class's log-odds are a sum of rows of weights: one for the bigram feature (token before), one
 for the trigram feature (both tokens before), one for the skip feature (second token before), each hashed into ROWS rows,
-and a bias. The weights are trained by distributed gradient updates: in each round every part of the training sample gives
-its summed gradient, the driver takes an AdaGrad step, and the new weights are broadcast (a fixed size). Within a class,
+and a bias. The weights are trained by distributed gradient updates: in each round every task gives its documents' summed
+gradient, the driver takes an AdaGrad step, and the new weights are broadcast (a fixed size). Within a class,
 probabilities are smoothed counts over the whole training part of the corpus. Texts are scored in sparse numpy batches.
 
-The weights are fitted on at most DOCS training documents (whole texts, chosen by a hash of doc_id: the documented bound).
-All counts cover all training documents. Tokens are known by 64-bit hashes. The TOP most frequent tokens' counts are
+The weights are fitted on all training documents, whole: the rounds take disjoint parts of them (by a hash of doc_id), and
+every document is in the gradient of one round. All counts cover all training documents. Tokens are known by 64-bit hashes. The TOP most frequent tokens' counts are
 broadcast (a fixed bound); counts of the others reach the documents by a join.
 
 Edge cases: a null text counts as empty and has one token, its end; a null doc_id is neither held out nor learned from;
@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, held_out, sample, training
+from .common import batches, cut, held_out, training
 
-SINGLE, FORMS, ROWS, TOP, DOCS, ROUNDS, RATE, PARTS = 96, 31, 1 << 12, 200_000, 1500, 12, 0.5, 8
+SINGLE, FORMS, ROWS, TOP, ROUNDS, RATE, SLICES = 96, 31, 1 << 12, 200_000, 12, 0.5, 64
 CLASSES = SINGLE + FORMS + 1
 END, BEGIN = 1, 2
 REMEMBERED, STEP = 600_000, 1 << 14
@@ -130,7 +130,9 @@ def gradient(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.n
     out = np.zeros_like(weights)
     for s in range(0, len(rows), STEP):
         r, c = rows[s : s + STEP], classes[s : s + STEP]
-        e = -np.exp(log_odds(weights, r))
+        e = weights[r[:, 0]] + weights[r[:, 1]] + weights[r[:, 2]] + weights[-1]
+        np.exp(e - e.max(axis=1, keepdims=True), out=e)
+        e /= -e.sum(axis=1, keepdims=True)
         e[np.arange(len(c)), c] += 1
         out[-1] += e.sum(axis=0)
         for k in range(3):
@@ -181,7 +183,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def added(f: pd.DataFrame) -> pd.DataFrame:
-    """Sum of one slice of the parts' gradients."""
+    """Sum of one slice of the tasks' gradients."""
     return pd.DataFrame({"k": [f["k"].iloc[0]], "g": [np.sum([np.frombuffer(g, np.float32) for g in f["g"]], axis=0).tobytes()], "n": [f["n"].sum()]})
 
 
@@ -189,9 +191,9 @@ def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """Weights from the documents' texts by ROUNDS distributed gradient steps."""
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(vocab)
-    part = cut(sample(docs, "doc_id", DOCS).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).select("part", "text"), "training")
+    part = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), "text")
     weights, squares = np.zeros((ROWS + 1, CLASSES), np.float32), np.full((ROWS + 1, CLASSES), 1e-6, np.float32)
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         held = spark.sparkContext.broadcast(weights)
 
         def summed(frames, held=held):
@@ -204,18 +206,18 @@ def train(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
                     total += gradient(held.value, features(h, sizes), classes)
                     n += len(h)
             if n:
-                cuts = np.array_split(total, PARTS)
-                yield pd.DataFrame({"k": range(PARTS), "g": [c.tobytes() for c in cuts], "n": [n] + [0] * (PARTS - 1)})
+                cuts = np.array_split(total, SLICES)
+                yield pd.DataFrame({"k": range(SLICES), "g": [c.tobytes() for c in cuts], "n": [n] + [0] * (SLICES - 1)})
 
-        parts = part.select("text").repartition(PARTS).mapInPandas(summed, "k int, g binary, n long").groupBy("k").applyInPandas(added, "k int, g binary, n long")
-        rows = sorted(parts.collect())  # one gradient's size, whatever the number of parts
+        parts = part.filter(F.col("round") == k).select("text").coalesce(spark.sparkContext.defaultParallelism).mapInPandas(summed, "k int, g binary, n long").groupBy("k").applyInPandas(added, "k int, g binary, n long")
+        rows = sorted(parts.collect())  # one gradient's size, whatever the number of tasks
+        held.destroy()
         n = sum(r["n"] for r in rows)
         if not n:
-            break
+            continue
         g = np.frombuffer(b"".join(r["g"] for r in rows), np.float32).reshape(weights.shape) / np.float32(n)
         squares += g * g
         weights = weights + np.float32(RATE) * g / np.sqrt(squares)
-        held.unpersist()
     return weights
 
 

@@ -250,6 +250,23 @@ def test_lm_counts_and_beats_unigrams(spark, edge):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_lm_learns_word_order_from_every_document(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(8)]) for k in range(2200)]
+    ids = spark.createDataFrame([(k,) for k, _ in rows], "doc_id long").filter(lm.training("doc_id", 7))
+    late = {r[0] for r in ids.orderBy(lm.F.xxhash64("doc_id")).collect()[1500:]}
+    assert len(late) > 300
+
+    def scores(order):  # the documents beyond the first 1500 hashes in another word order: equal counts
+        texts = [(k, " ".join(order(w) if k in late else w)) for k, w in rows]
+        return {r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+
+    one, two = scores(sorted), scores(lambda w: sorted(w, reverse=True))
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 7 == 2]
+    assert all(one[k][0] == pytest.approx(two[k][0]) for k in held)
+    assert sum(abs(one[k][1] - two[k][1]) for k in held) > 0.01 * len(held)
+
+
 def test_lm_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(3)
     w = rng.normal(size=(lm.ROWS + 1, lm.CLASSES)) * 0.1
