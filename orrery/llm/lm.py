@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, held_out, training
 
-SINGLE, FORMS, ROWS, TOP, ROUNDS, RATE, SLICES = 96, 31, 1 << 12, 200_000, 12, 0.5, 64
+SINGLE, FORMS, ROWS, TOP, ROUNDS, RATE, SLICES = 96, 31, 1 << 13, 200_000, 12, 0.5, 64
 CLASSES = SINGLE + FORMS + 1
 END, BEGIN = 1, 2
 REMEMBERED, STEP = 600_000, 1 << 14

@@ -267,6 +267,11 @@ def test_lm_learns_word_order_from_every_document(spark):
     assert sum(abs(one[k][1] - two[k][1]) for k in held) > 0.01 * len(held)
 
 
+def test_lm_features_use_all_rows():
+    h = np.random.default_rng(2).integers(4, 1 << 62, 100_000)
+    assert lm.ROWS >= 8192 and len(np.unique(lm.features(h, np.array([len(h)])))) == lm.ROWS
+
+
 def test_lm_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(3)
     w = rng.normal(size=(lm.ROWS + 1, lm.CLASSES)) * 0.1
