@@ -268,22 +268,75 @@ def test_lm_learns_word_order_from_every_document(spark):
 
 
 def test_lm_features_use_all_rows():
-    h = np.random.default_rng(2).integers(4, 1 << 62, 100_000)
-    assert lm.ROWS >= 8192 and len(np.unique(lm.features(h, np.array([len(h)])))) == lm.ROWS
+    h = np.random.default_rng(2).integers(4, 1 << 62, 300_000)
+    rows = lm.rows_of(lm.histories(h, np.array([len(h)])), h % lm.LEAVES)
+    assert lm.ROWS * lm.BRANCH >= 8192 * 128 and len(np.unique(rows[:, :3])) == lm.ROWS
+    assert len(np.unique(rows[:, 3])) == lm.NODES and rows.max() < lm.ROWS + lm.NODES
+
+
+def lm_case(n, seed=3):
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(size=(lm.ROWS + lm.NODES, lm.BRANCH)) * 0.3
+    hashes = rng.integers(4, 1 << 62, n)
+    return weights, lm.histories(hashes, np.array([n // 2, n - n // 2])), rng.integers(0, lm.LEAVES, n)
 
 
 def test_lm_gradient_is_that_of_the_likelihood():
-    rng = np.random.default_rng(3)
-    w = rng.normal(size=(lm.ROWS + 1, lm.CLASSES)) * 0.1
-    rows, classes = rng.integers(0, lm.ROWS, (50, 3)), rng.integers(0, lm.CLASSES, 50)
-    like = lambda x: lm.log_odds(x, rows)[np.arange(50), classes].sum()
-    g = lm.gradient(w, rows, classes)
-    for at in ((rows[0, 0], classes[0]), (rows[3, 2], 5), (lm.ROWS, 7)):
+    w, history, leaf = lm_case(50)
+    like = lambda x: lm.log_leaf(x, history, leaf).sum()
+    g, rows, taken = lm.gradient(w, history, leaf), lm.rows_of(history, leaf), lm.digits(leaf)
+    for at in ((rows[0, 0, 4], taken[0, 4]), (rows[1, 1, 7], 5), (rows[2, 2, 9], taken[2, 9]), (lm.ROWS, 7)):
         up, down = w.copy(), w.copy()
         up[at] += 1e-5
         down[at] -= 1e-5
-        assert g[at] == pytest.approx((like(up) - like(down)) / 2e-5, abs=1e-4)
-    assert np.allclose(np.exp(lm.log_odds(w, rows)).sum(axis=1), 1)
+        assert g[at[1], at[0]] == pytest.approx((like(up) - like(down)) / 2e-5, abs=1e-3)
+
+
+def test_lm_leaves_add_up_to_one():
+    w, history, _ = lm_case(6)
+    total = sum(np.exp(lm.log_leaf(w, history, np.full(6, leaf))) for leaf in range(lm.LEAVES))
+    assert np.allclose(total, 1)
+
+
+def test_lm_changes_are_averaged_by_squares():
+    d, s = np.array([[1.0, 2.0], [3.0, 2.0]], np.float32), np.array([[1.0, 0.0], [3.0, 4.0]], np.float32)
+    f = lm.pd.DataFrame({"k": [0, 0], "g": [lm.short(a).tobytes() + lm.short(b).tobytes() for a, b in zip(d, s)]})
+    got = np.frombuffer(lm.averaged(f)["g"][0], np.float32)
+    assert got.tolist() == [2.5, 2.0, 2.5, 4.0]
+    x = np.random.default_rng(1).normal(size=100).astype(np.float32)
+    assert np.allclose(lm.long(lm.short(x)), x, rtol=0.005)
+
+
+def test_lm_score_equals_plain_sums(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red", "fox", "blue", "bird", "old", "oak", f"once{k}"]) for _ in range(30)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "TOP", 4)  # the others' counts come by the join
+    kept = {}
+    first = lm.train
+    monkeypatch.setattr(lm, "train", lambda docs, vocab, share: kept.setdefault("w", (vocab, first(docs, vocab, share)))[1])
+    got = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    vocab, w = kept["w"]
+    learn = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = Counter(x for t in learn for x in [*t.encode().split(), None])
+    def leaf_of(x):
+        if x is None:
+            return 0
+        return int(vocab.look(np.array([lm.hash_of(x)], np.uint64).view(np.int64), np.array([lm.form_of(x)]))[0][0])
+
+    held = Counter()
+    for x, n in count.items():
+        held[leaf_of(x)] += n + 1
+    assert len(vocab.hashes) == 4 < len(count)
+    for k in (0, 7, 31):
+        toks, one, two, want = [*texts[k].encode().split(), None], lm.BEGIN, lm.BEGIN, 0.0
+        for x in toks:
+            h = lm.END if x is None else int(np.array([lm.hash_of(x)], np.uint64).view(np.int64)[0])
+            feats = lm.histories(np.array([two, one, h] if two != lm.BEGIN else [one, h] if one != lm.BEGIN else [h], np.int64), np.array([3 if two != lm.BEGIN else 2 if one != lm.BEGIN else 1]))[:, -1:]
+            leaf = leaf_of(x)
+            want += lm.log_leaf(w, feats, np.array([leaf]))[0] / math.log(10) + math.log10((count[x] + 1) / (held[leaf] + 1))
+            one, two = h, one
+        assert got[k] == pytest.approx(want, rel=1e-4)
 
 
 def test_pipeline_stages(spark, sf_dir):
