@@ -4,7 +4,7 @@ A token's probability is that of its class given the two tokens before it, times
 leaves of a tree of three levels with BRANCH branches at each node (the class-factored softmax), and each branch taken is a
 softmax whose log-odds are a sum of rows of weights: one for the bigram feature (token before), one for the trigram feature
 (both tokens before), one for the skip feature (second token before), each hashed with the node into ROWS rows, and a row
-of the node's own. The CLUSTERED most frequent tokens are put in order by what stands next to them (recursive halving of
+of the node's own, fixed at its branches' shares of all training tokens. The CLUSTERED most frequent tokens are put in order by what stands next to them (recursive halving of
 their co-occurrences with the NEAR most frequent tokens) and cut into leaves of about equal weight, so that a leaf holds
 one frequent token or several that are alike; the end of a text is a leaf, and all other tokens fall into FORMS leaves
 under the last branch of the root, by the hash of their last letters. Within a leaf, probabilities are smoothed counts.
@@ -37,7 +37,8 @@ LEAVES, NODES = BRANCH**3, 1 + BRANCH + BRANCH**2
 #: Contexts on either side of a token, numbers that they are projected on, least count of a clustered token.
 NEAR, SKETCH, LEAST = 64, 32, 4
 END, BEGIN = 1, 2
-REMEMBERED, STEP, SEED = 600_000, 1 << 14, 7
+#: Tokens remembered by a worker, tokens of a step, tokens whose log-odds are worked out at a time.
+REMEMBERED, STEP, CHUNK, SEED = 400_000, 1 << 15, 1 << 11, 7
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,36 +54,47 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Tokens:
-    """Hashes and forms of tokens, in arrays by the number of a token, with a bounded table."""
+class Numbers(dict):
+    """Numbers of tokens from 1 on, given out at the first look; ``fresh`` gathers the new ones."""
 
     def __init__(self):
-        self.turn = 0
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self.fresh.append(token)
+        n = self[token] = len(self) + 1
+        return n
+
+
+class Tokens:
+    """Hashes, forms and what ``look(hashes, forms)`` says of tokens, in arrays by the number of a token, with a bounded table."""
+
+    def __init__(self, look=lambda hashes, forms: ()):
+        self.turn, self.look = 0, look
         self.clear()
 
     def clear(self):
         self.turn += 1
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.hashes, self.forms = np.array([END], np.int64), np.array([0], np.int64)
+        self.seen = self.look(self.hashes, self.forms)
 
     def numbers(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of the texts one after another, each text's end (number 0) included, and tokens of each text."""
-        cut_ = [tokens_of(t) for t in texts]
-        distinct = set().union(*cut_)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.clear()
-            new = distinct
-        for t in new:
-            self.known[t] = len(self.known) + 1
-        self.hashes = np.concatenate([self.hashes, np.array([hash_of(t) for t in new], np.uint64).view(np.int64)])
-        self.forms = np.concatenate([self.forms, np.array([form_of(t) for t in new], np.int64)])
-        sizes = np.array([len(c) + 1 for c in cut_], np.int64)
-        at, out = self.known.__getitem__, []
-        for c in cut_:
-            out += map(at, c)
+        at, out, sizes = self.known.__getitem__, [], []
+        for t in texts:
+            cut_ = tokens_of(t)
+            out += map(at, cut_)
             out.append(0)
-        return np.array(out, np.int64), sizes
+            sizes.append(len(cut_) + 1)
+        if fresh := self.known.fresh:
+            h, f = np.array([hash_of(t) for t in fresh], np.uint64).view(np.int64), np.array([form_of(t) for t in fresh], np.int64)
+            self.hashes, self.forms = np.concatenate([self.hashes, h]), np.concatenate([self.forms, f])
+            self.seen = tuple(np.concatenate(x) for x in zip(self.seen, self.look(h, f)))
+            fresh.clear()
+        return np.array(out, np.int64), np.array(sizes, np.int64)
 
 
 class Vocabulary:
@@ -103,6 +115,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
+    def ranks(self, hashes: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray]:
+        """(rank by count, CLUSTERED if not among the most frequent,) of tokens."""
+        at = self.find(hashes)
+        return (np.where(at >= 0, self.rank[at], CLUSTERED) if len(self.rank) else np.full(len(hashes), CLUSTERED),)
+
     def look(self, hashes: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(leaf, count or -1 if not among the most frequent) of tokens."""
         rare = LEAVES - FORMS + forms
@@ -152,37 +169,39 @@ def rows_of(history: np.ndarray, leaf: np.ndarray) -> np.ndarray:
 
 def odds(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(3, n, BRANCH) log-odds of the branches at each level, the largest being 0."""
-    z = weights[rows[:, 0]]
+    z = weights.take(rows[:, 0].ravel(), axis=0, mode="clip")
     for k in (1, 2, 3):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=2, keepdims=True)
-    return z
+        z += weights.take(rows[:, k].ravel(), axis=0, mode="clip")
+    z -= z.max(axis=1, keepdims=True)
+    return z.reshape(3, -1, BRANCH)
 
 
 def log_leaf(weights: np.ndarray, history: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Natural logarithm of each token's leaf's probability."""
     out = np.zeros(len(leaf))
-    for s in range(0, len(leaf), STEP):
-        part = leaf[s : s + STEP]
-        z = odds(weights, rows_of(history[:, s : s + STEP], part))
+    for s in range(0, len(leaf), CHUNK):
+        part = leaf[s : s + CHUNK]
+        z = odds(weights, rows_of(history[:, s : s + CHUNK], part))
         taken = np.take_along_axis(z, digits(part)[:, :, None], 2)[:, :, 0]
         np.exp(z, out=z)
-        out[s : s + STEP] = (taken - np.log(z.sum(axis=2))).sum(axis=0)
+        out[s : s + CHUNK] = (taken - np.log(z.sum(axis=2))).sum(axis=0)
     return out
 
 
 def gradient(weights: np.ndarray, history: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    """(BRANCH, rows) summed gradient of the leaves' log-likelihood."""
-    rows = rows_of(history, leaf)
-    e = odds(weights, rows)
-    np.exp(e, out=e)
-    e /= -e.sum(axis=2, keepdims=True)
-    taken = digits(leaf)[:, :, None]
-    np.put_along_axis(e, taken, np.take_along_axis(e, taken, 2) + 1, 2)
-    at, e = rows.transpose(1, 0, 2).ravel(), e.transpose(2, 0, 1).reshape(BRANCH, -1).astype(np.float64)
-    out = np.empty((BRANCH, len(weights)), np.float32)
+    """(BRANCH, ROWS) summed gradient of the leaves' log-likelihood; the nodes' own rows are fixed."""
+    rows, taken = rows_of(history, leaf), digits(leaf)[:, :, None]
+    e = np.empty((BRANCH, 3, len(leaf)))
+    for s in range(0, len(leaf), CHUNK):
+        z, hit = odds(weights, rows[:, :, s : s + CHUNK]), taken[:, s : s + CHUNK]
+        np.exp(z, out=z)
+        z /= -z.sum(axis=2, keepdims=True)
+        np.put_along_axis(z, hit, np.take_along_axis(z, hit, 2) + 1, 2)
+        e[:, :, s : s + CHUNK] = z.transpose(2, 0, 1)
+    at, e = rows[:, :3].transpose(1, 0, 2).ravel(), e.reshape(BRANCH, -1)
+    out = np.empty((BRANCH, ROWS), np.float32)
     for k in range(BRANCH):
-        out[k] = np.bincount(at, np.concatenate([e[k]] * 4), len(weights))
+        out[k] = np.bincount(at, np.concatenate([e[k]] * 3), ROWS)
     return out
 
 
@@ -238,12 +257,11 @@ def near(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (2 * (NEAR + 1), SKETCH)).astype(np.float32)
 
     def counted(frames):
-        tokens, total = Tokens(), np.zeros((CLUSTERED, 2, NEAR + 1), np.float32)
+        tokens, total = Tokens(words.value.ranks), np.zeros((CLUSTERED, 2, NEAR + 1), np.float32)
         for f in frames:
             for run in batches(f["text"]):
                 numbers, _ = tokens.numbers(run)
-                at = words.value.find(tokens.hashes)
-                rank = np.where(at >= 0, words.value.rank[at], CLUSTERED)[numbers]
+                rank = tokens.seen[0][numbers]
                 for side, (me, other) in enumerate(((rank[1:], rank[:-1]), (rank[:-1], rank[1:]))):
                     hit = (me < CLUSTERED) & (other < NEAR)
                     total[:, side] += np.bincount(me[hit] * (NEAR + 1) + other[hit], minlength=CLUSTERED * (NEAR + 1)).reshape(CLUSTERED, NEAR + 1)
@@ -316,7 +334,7 @@ def learned(weights: np.ndarray, squares: np.ndarray, history: np.ndarray, leaf:
         squares += g * g
         g /= np.sqrt(squares)
         g *= np.float32(RATE)
-        weights += g.T
+        weights[:ROWS] += g.T
 
 
 def short(x: np.ndarray) -> np.ndarray:
@@ -344,30 +362,29 @@ def train(docs: DataFrame, vocab: Vocabulary, share: np.ndarray) -> np.ndarray:
     words = spark.sparkContext.broadcast(vocab)
     part = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), "text")
     weights = first_weights(share)
-    squares = np.full(weights.T.shape, DAMPED, np.float32)
+    squares = np.full((BRANCH, ROWS), DAMPED, np.float32)
     for k in range(ROUNDS):
         held = spark.sparkContext.broadcast((weights, squares))
 
         def updated(frames, held=held):
-            tokens, (start, seen), any_ = Tokens(), held.value, False
+            tokens, (start, seen), any_ = Tokens(words.value.look), held.value, False
             w, s = start.copy(), seen.copy()
             for f in frames:
                 for run in batches(f["text"]):
                     numbers, sizes = tokens.numbers(run)
                     h = tokens.hashes[numbers]
-                    learned(w, s, histories(h, sizes), words.value.look(tokens.hashes, tokens.forms)[0][numbers])
+                    learned(w, s, histories(h, sizes), tokens.seen[0][numbers])
                     any_ = True
             if any_:
-                yield sliced(short(w - start), short(np.ascontiguousarray((s - seen).T)))
+                yield sliced(short((w - start)[:ROWS]), short(np.ascontiguousarray((s - seen).T)))
 
         got = gathered(part.filter(F.col("round") == k).select("text"), updated, averaged)
         held.destroy()
         if got is None:
             continue
-        sizes = np.array([len(c) for c in np.array_split(np.empty(weights.size, np.int8), SLICES)])
-        at = np.concatenate([[0], np.cumsum(2 * sizes)])
-        change, more = (np.concatenate([got[a + j * n : a + (j + 1) * n] for a, n in zip(at, sizes)]).reshape(weights.shape) for j in (0, 1))
-        weights, squares = weights + change, squares + more.T
+        change, more = got.reshape(SLICES, 2, -1).transpose(1, 0, 2).reshape(2, ROWS, BRANCH)  # SLICES divides ROWS
+        weights[:ROWS] += change
+        squares += more.T
     return weights
 
 
@@ -381,14 +398,13 @@ def score(docs: DataFrame, mod: int = 7) -> DataFrame:
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "model", "rare"]
 
     def local(batches_):
-        tokens = Tokens()
+        tokens = Tokens(words.value.look)
         for b in batches_:
             uids, ids, held, texts = b.column("uid"), b.column("doc_id"), b.column("held_out"), b.column("text").to_pylist()
             at = 0
             for run in batches(texts):
                 numbers, sizes = tokens.numbers(run)
-                leaves, counted = words.value.look(tokens.hashes, tokens.forms)
-                h, leaf, seen = tokens.hashes[numbers], leaves[numbers], counted[numbers]
+                h, leaf, seen = tokens.hashes[numbers], tokens.seen[0][numbers], tokens.seen[1][numbers]
                 chosen = log_leaf(weights.value, histories(h, sizes), leaf) / np.log(10) - words.value.totals[leaf]
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 add = lambda x: np.add.reduceat(x, first)
