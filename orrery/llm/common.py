@@ -14,9 +14,11 @@ BATCH = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the cluster's spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Folder that driver and executors share: the cluster's spark.checkpoint.dir; where it is unset a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -75,6 +77,26 @@ def sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(h <= last) if last is not None else df.limit(0)
 
 
+def least_rows(docs: DataFrame, found: DataFrame, key) -> DataFrame:
+    """One row of each component: of ``docs`` (doc_id, text, any others) the row with the component's least doc_id.
+
+    ``found`` has doc_id, fp (``key`` of the text), component_id (the least doc_id, null if no member has one) and first (a
+    value that names the component). Rows with a null doc_id go if their component has a doc_id. Of rows that repeat the
+    least doc_id in one component, and of a component without any doc_id, one row stays. Columns of any names are kept."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    lost = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    kept = rows.join(lost, "id", "left_anti")
+    odd = cut(found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias("odd")), "odd")
+    if odd.isEmpty():
+        return kept.select("row.*")
+    same = F.col("id").eqNullSafe(F.col("odd"))
+    # repeated and null doc_ids: decide by the row's own text
+    again = rows.join(odd, same, "left_semi").withColumn("of", key(F.col("row.text")))
+    classes = cut(found.select("fp", "component_id", "first").distinct(), "classes")
+    one = again.join(classes, F.col("of") == F.col("fp")).filter("id <=> component_id").dropDuplicates(["first"])
+    return kept.join(odd, same, "left_anti").select("id", "row").union(one.select("id", "row")).select("row.*")
+
+
 def batches(texts):
     """Runs of texts of about BATCH letters in all; a longer text is one run."""
     run, size = [], 0

@@ -15,12 +15,13 @@ rows give a row each; an empty table gives an empty result; texts are read whole
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, least_rows
 from .components import components
 from .runs import grouped
 
@@ -146,23 +147,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) without those that are like one with a lesser doc_id.
-
-    Of rows that repeat a doc_id and its component one stays; so does one of rows with a null doc_id that are like none with a doc_id."""
-    found = cut(near_copies(docs, shingle, similarity), "found")
-    lost = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    odd = cut(found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "odd")
-    if odd.isEmpty():
-        return kept
-
-    # repeated and null doc_ids: decide by the row's own set
-    @F.udf("binary")
-    def fp(text):
-        return digest(shingles(text, shingle))
-
-    again = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fp("text"))
-    classes = cut(found.select(F.col("fp").alias("_of"), F.col("component_id").alias("_c"), F.col("first").alias("_first")).distinct(), "classes")
-    keep = again.join(classes, F.col("_fp") == F.col("_of")).filter("_c is null or doc_id = _c")
-    one = keep.dropDuplicates(["doc_id", "_first"]).select(*docs.columns)
-    return kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns).unionByName(one)
+    """The rows of ``docs`` (doc_id, text and any others) without those that are like one with a lesser doc_id; see :func:`orrery.llm.common.least_rows`."""
+
+    @F.pandas_udf("binary")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(shingles(t, shingle)) for t in texts], dtype=object)
+
+    return least_rows(docs, cut(near_copies(docs.select("doc_id", "text"), shingle, similarity), "found"), fp)

@@ -10,9 +10,9 @@ verified.
 A key shared by more than BUCKET distinct fingerprints is worked on without pairs: fingerprints within two bits have a
 common word within one bit, so 65 rows for each fingerprint, grouped by word, give the same links up to reachability.
 
-Edge cases: a null text counts as empty, whose fingerprint is zero and links like any other; a document with a null
-doc_id takes the component of documents with an equal fingerprint, if any, and else null; repeated rows give a row each;
-an empty table gives an empty result; texts are fingerprinted whole; other columns are not read.
+Edge cases: a null text counts as empty, whose fingerprint is zero and links like any other; so does a document with a null
+doc_id, whose component_id is null only where no doc_id can be reached; repeated rows give a row each; an empty table gives
+an empty result; texts are fingerprinted whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, least_rows
 from .components import components
 from .runs import grouped
 
@@ -129,7 +129,7 @@ def forest(keys: np.ndarray, prints: np.ndarray, most: int = 2) -> tuple[np.ndar
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between representatives of distinct fingerprints (fp long, rep long) within two bits, enough to connect all."""
+    """Edges (a, b) between the numbers (rep long) of distinct fingerprints (fp long) within two bits, enough to connect all."""
     spark = distinct.sparkSession
     tables = spark.sparkContext.broadcast(code_tables())
 
@@ -165,32 +165,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return cold.union(joined)
 
 
+def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (signed long), component_id and first (one fp of the component) of every document (doc_id, text)."""
+    prints = cut(docs.select("doc_id", fingerprint_column("text", shingle).alias("fp")), "prints")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.col("fp").alias("rep"), "least"), "distinct")
+    found = components(links(distinct.select("fp", "rep")))
+    of = distinct.join(found, distinct.fp == found.node, "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("first"), "least")
+    of = cut(of, "classes")
+    least = of.groupBy("first").agg(F.min("least").alias("component_id"))
+    classes = cut(of.select("of", "first").join(least, "first"), "components")
+    return prints.join(classes, prints.fp == classes["of"]).select("doc_id", "fp", "component_id", "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long) and component_id of every document (doc_id, text)."""
-    prints = cut(docs.select("doc_id", fingerprint_column("text", shingle).alias("fp")), "prints")
-    distinct = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct))
-    classes = cut(distinct.join(found, distinct.rep == found.node, "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id")), "classes")
-    return prints.join(classes, prints.fp == classes["of"], "left").select("doc_id", "fp", "component_id")
+    return linked(docs, shingle).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) without those that are like one with a lesser doc_id.
-
-    Of rows that repeat a doc_id and its fingerprint one stays; so does a row with a null doc_id that is like none other."""
-    found = cut(near_duplicates(docs.select("doc_id", "text"), shingle), "found")
-    gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id", "fp")
-    fp = fingerprint_column("text", shingle)
-    lost = cut(gone.distinct(), "gone")
-    kept = docs.join(lost.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    odd = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("component_id").alias("m")).filter("c > 1 or doc_id is null")
-    odd = cut(odd.select(F.col("doc_id").alias("_id"), "m"), "odd")
-    if odd.isEmpty():
-        return kept
-    # repeated and null doc_ids: decide by the row's own fingerprint
-    again = docs.withColumn("_fp", fp).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")))
-    classes = cut(found.groupBy(F.col("fp").alias("_of")).agg(F.min("component_id").alias("_c")), "classes")
-    again = again.join(classes, F.col("_fp") == F.col("_of"))
-    keep = again.filter("_c is null or doc_id = _c")
-    one = keep.withColumn("_key", F.coalesce("doc_id", F.col("_fp"))).dropDuplicates(["doc_id", "_key", "_c"]).select(*docs.columns)
-    return kept.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns).unionByName(one)
+    """The rows of ``docs`` (doc_id, text and any others) without those that are linked to one with a lesser doc_id; see :func:`orrery.llm.common.least_rows`."""
+    return least_rows(docs, cut(linked(docs.select("doc_id", "text"), shingle), "found"), lambda text: fingerprint_column(text, shingle))
