@@ -8,8 +8,8 @@ double precision. A bucket gives a number of links for each node and a spanning
 bucket of more than BLOCK nodes is cut into blocks, and each two blocks meet in a task of their own.
 
 Edge cases: rows whose vector or label is null, and vectors that are zero, empty, or hold null or non-finite components
-link with nothing; only vectors of one length are compared; a null vec_id links with nothing and is not kept; repeated
-rows count as other vectors; an empty table gives an empty result; other columns are not read.
+link with nothing; only vectors of one length are compared; a row with a null vec_id links like any other, is never kept, and
+its component_id is null where no vec_id can be reached; repeated rows count as other vectors; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,10 +97,12 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = F.col("embedding")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda v: v != 0), F.lit(False))
-    rows = vectors.select("vec_id", e.cast("array<double>").alias("x"), F.when(fit, F.struct(F.col("label").cast("string").alias("label"), F.size(e).alias("dim"))).alias("g"))
+    fit = F.coalesce(F.col("label").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda v: v != 0), F.lit(False))
+    rows = vectors.select("vec_id", e.alias("x"), F.when(fit, F.struct(F.col("label").cast("string").alias("label"), F.size(e).alias("dim"))).alias("g"))
     rows = rows.withColumn("digest", F.when(F.col("g").isNotNull(), F.sha2(F.to_json(F.struct("g", "x")).cast("binary"), 256)))
-    nodes = cut(rows.filter("g is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("same"), F.first("g").alias("g"), F.first("x").alias("x")), "vectors")
+    nodes = rows.filter("g is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("same"), F.first("g").alias("g"), F.first("x").alias("x"))
+    nodes = cut(nodes.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # numbers that hold once written
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
     def hashed(batches):
         for b in batches:
@@ -123,7 +125,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
                         names=["key", "t", "bucket", "probes", "rep", "same", "x"],
                     )
 
-    keyed = nodes.mapInArrow(hashed, "key long, t int, bucket long, probes array<long>, rep long, same long, x array<double>")
+    keyed = nodes.mapInArrow(hashed, "key long, t int, bucket long, probes array<long>, rep long, same long, x " + kind)
     crowded = cut(keyed.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts")), "crowded")
     dealt = keyed.withColumns({"part": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
     if not crowded.isEmpty():
@@ -175,8 +177,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     found = cut(dealt.mapInArrow(counted, "rep long, n long, other long"), "links")
     total = found.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
     reach = components(found.filter("n = 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    classes = nodes.select(F.col("digest").alias("of"), "rep", "same").join(total, "rep", "left").join(reach, F.col("rep") == F.col("node"), "left")
-    classes = cut(classes.select("of", (F.coalesce("n", F.lit(0)) + F.col("same") - 1).alias("n"), F.coalesce("root", "rep").alias("root")), "classes")
+    classes = nodes.select(F.col("digest").alias("of"), "rep", "same", "least").join(total, "rep", "left").join(reach, F.col("rep") == F.col("node"), "left")
+    classes = cut(classes.select("of", "least", (F.coalesce("n", F.lit(0)) + F.col("same") - 1).alias("n"), F.coalesce("root", "rep").alias("top")), "classes")
+    classes = cut(classes.drop("least").join(classes.groupBy("top").agg(F.min("least").alias("root")), "top"), "components")
     out = rows.select("vec_id", "digest").join(classes, F.col("digest") == F.col("of"), "left")
     component = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
