@@ -4,9 +4,10 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 sum over all its segmentations into pieces, from one forward pass; a text's is the product over its words. The
 probabilities come from expectation maximisation on the words of labelled documents.
 
-Training uses at most DOCS labelled documents (whole texts, chosen by a hash of doc_id, the documented bound) and their
-WORDS most frequent words of each language. Words are runs of letters in lower case; those over CHUNK letters are cut
-into chunks of that length, so that no probability leaves the range of doubles. Texts are scored whole.
+The languages are those of all labelled documents. Training uses at most DOCS documents of each (whole texts, chosen by a
+hash of doc_id) and their WORDS most frequent words of each language: the documented bounds. Words are runs of letters in
+lower case. A word is scored whole, the forward sums being scaled as they grow small; only a run of more than LONG letters
+is cut. In training, where words of more than CHUNK letters are rare, these count as chunks of that length.
 
 Edge cases: a null text or one without a letter is "und" with score 0; without any labelled document every text is
 "und"; ties go to the language first in order; repeated rows give equal rows; other columns are not read.
@@ -15,21 +16,21 @@ Edge cases: a null text or one without a letter is "und" with score 0; without a
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, sample, training
+from .common import batches, held_out, training
 
-DOCS, WORDS, ROUNDS, CHUNK, REMEMBERED = 3000, 12_000, 3, 32, 400_000
+DOCS, WORDS, ROUNDS, CHUNK, LONG, REMEMBERED = 1000, 12_000, 3, 32, 512, 400_000
 #: Probability of a letter that no piece covers, in every language; mass added to every piece.
 UNSEEN, ADDED = 1e-7, 0.05
 START, FACTOR = "▁", 0x9E3779B97F4A7C15
-letters = re.compile(r"[^\W\d_]+").findall
+letters = regex.compile(r"\p{L}+").findall
 
 
 def pieces_of(path: str) -> list[str]:
@@ -41,9 +42,9 @@ def pieces_of(path: str) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not odd(i)]
 
 
-def chunks(word: str) -> list[str]:
+def chunks(word: str, size: int) -> list[str]:
     word = START + word
-    return [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)] if len(word) > CHUNK else [word]
+    return [word[i : i + size] for i in range(0, len(word), size)] if len(word) > size else [word]
 
 
 class Segmenter:
@@ -93,11 +94,26 @@ class Segmenter:
             alpha[j, rows] += alpha[i, rows] * self.probs[piece]
         return alpha
 
-    def blocks(self, words: list[str]):
+    def log_forward(self, letters_: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the last sums of :meth:`forward`; every CHUNK // 2 letters all later sums are divided by the largest."""
+        n, m = letters_.shape
+        alpha, scale, at = np.zeros((m + 1, n, len(self.langs))), np.zeros((n, len(self.langs))), 0
+        alpha[0] = 1
+        for i, j, rows, piece in self.edges(letters_):
+            if i > at and i % (CHUNK // 2) == 0:
+                at = i
+                some = alpha[i : i + self.longest + 1]
+                top = some.max(axis=0)
+                some /= top
+                scale += np.log(top)
+            alpha[j, rows] += alpha[i, rows] * self.probs[piece]
+        return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
+    def blocks(self, words: list[str], size: int):
         """(numbers of words, letters) of chunks of one length."""
         by: dict[int, list[tuple[int, str]]] = {}
         for k, w in enumerate(words):
-            for c in chunks(w):
+            for c in chunks(w, size):
                 by.setdefault(len(c), []).append((k, c))
         for n, got in sorted(by.items()):
             yield np.array([k for k, _ in got]), np.frombuffer("".join(c for _, c in got).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
@@ -105,15 +121,15 @@ class Segmenter:
     def log_probs(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's probability in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        for k, block in self.blocks(words):
-            np.add.at(out, k, np.log(np.maximum(self.forward(block, self.edges(block))[-1], 1e-300)))
+        for k, block in self.blocks(words, LONG):
+            np.add.at(out, k, self.log_forward(block))
         return out
 
 
 def expected(seg: Segmenter, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece: forward and backward sums of every word, weighted by its counts in each language."""
     uses = np.zeros_like(seg.probs)
-    for k, block in seg.blocks(words):
+    for k, block in seg.blocks(words, CHUNK):
         edges = list(seg.edges(block))
         alpha = seg.forward(block, edges)
         beta = np.zeros_like(alpha)
@@ -126,9 +142,32 @@ def expected(seg: Segmenter, words: list[str], counts: np.ndarray) -> np.ndarray
     return uses[:-1]
 
 
+def least_hashes(rows: DataFrame, most: int) -> dict[str, int]:
+    """For each language the largest of the ``most`` least hashes of its documents' ids; tasks keep no more of each."""
+
+    def least(frames):
+        held: dict[str, np.ndarray] = {}
+        for f in frames:
+            for lang, h in f.groupby("lang")["h"]:
+                held[lang] = np.unique(np.concatenate([held.get(lang, np.zeros(0, np.int64)), h.to_numpy()]))[:most]
+        yield pd.DataFrame([(g, int(x)) for g, hs in held.items() for x in hs], columns=["lang", "h"]).astype({"lang": object, "h": "int64"})
+
+    def joined(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "h": [np.unique(f["h"])[:most][-1]]})
+
+    some = rows.select("lang", F.xxhash64("doc_id").alias("h")).mapInPandas(least, "lang string, h long")
+    return dict(some.groupBy("lang").applyInPandas(joined, "lang string, h long").collect())
+
+
 def train(docs: DataFrame, path: str) -> Segmenter | None:
     """Model from labelled documents (doc_id, text, lang); None if there are none."""
-    rows = sample(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()), "doc_id", DOCS)
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    last = least_hashes(rows, DOCS)
+    langs = sorted(last)
+    if not langs:
+        return None
+    bound = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last long")  # a row for each language
+    rows = rows.join(F.broadcast(bound), "lang").filter(F.xxhash64("doc_id") <= F.col("last"))
 
     def counted(frames):
         for f in frames:
@@ -138,13 +177,11 @@ def train(docs: DataFrame, path: str) -> Segmenter | None:
             yield pd.DataFrame([(g, w, n) for g, c in seen.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     counts = rows.select("lang", "text").mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    if not langs:
-        return None
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     words: dict[str, list[int]] = {}
-    for k, g in enumerate(langs):
-        for word, n in counts.filter(F.col("lang") == g).orderBy(F.desc("n"), "word").limit(WORDS).select("word", "n").collect():
-            words.setdefault(word, [0] * len(langs))[k] = n
+    at = {g: k for k, g in enumerate(langs)}
+    for lang, word, n in counts.withColumn("place", place).filter(F.col("place") <= WORDS).select("lang", "word", "n").collect():
+        words.setdefault(word, [0] * len(langs))[at[lang]] = n
     found = sorted(words.items())
     pieces = pieces_of(path)
     counts = np.array([n for _, n in found], float).reshape(-1, len(langs))
