@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Words are runs of letters and digits in lower case; a window has as many words as an item and slides by one word. Windows
+Words are runs of letters and digits in lower case; a window has as many words as an item, or all words of a document that
+has fewer, and slides by one word. Windows
 and items have 64-bit SimHashes of their 5-word shingles (an item of fewer words is one shingle). Item fingerprints are
 indexed in BLOCKS blocks of bits: of two fingerprints within RADIUS, some block differs in at most RADIUS // BLOCKS bits,
 so looking up a block and its neighbours within that many bits finds every item within RADIUS. Candidates are verified by
@@ -115,15 +116,15 @@ class Index:
             for p in hits.tolist():
                 for n in shingles[int(h[p])]:
                     size = self.sizes[n]
-                    starts.setdefault(size, set()).update(range(max(0, p - size + k), min(p, len(words) - size) + 1))
+                    wide = min(size, len(words))
+                    starts.setdefault(size, set()).update(range(max(0, p - wide + k), min(p, len(words) - wide) + 1))
             for size, found in starts.items():
                 for run in np.split(s := np.array(sorted(found)), np.nonzero(np.diff(s) != 1)[0] + 1):
-                    self.windows(h, run, size, k, best)
-        return [(self.ids[n], s, a, self.sizes[n]) for n, (s, a) in sorted(best.items())]
+                    self.windows(h, run, size, k, min(size, len(words)) - k + 1, best)
+        return [(self.ids[n], s, a, min(self.sizes[n], len(words))) for n, (s, a) in sorted(best.items())]
 
-    def windows(self, h: np.ndarray, run: np.ndarray, size: int, k: int, best: dict) -> None:
-        """Windows that start at each of a run of words, in pieces of bounded size."""
-        m = size - k + 1
+    def windows(self, h: np.ndarray, run: np.ndarray, size: int, k: int, m: int, best: dict) -> None:
+        """Windows of m shingles that start at each of a run of words, in pieces of bounded size."""
         for lo in range(0, len(run), 4096):
             part = run[lo : lo + 4096]
             if not len(part):
@@ -134,7 +135,7 @@ class Index:
                     own = Counter(h[a : a + m].tolist())
                     for n in near:
                         both = sum((own & self.counts[n]).values())
-                        similarity = both / (2 * m - both)
+                        similarity = both / (m + size - k + 1 - both)
                         if similarity >= LEAST and similarity > best.get(n, (0.0,))[0]:
                             best[n] = similarity, a
 
