@@ -72,6 +72,28 @@ def test_langid_sums_all_segmentations():
     seg = langid.Segmenter(["x", "y"], pieces, rng.dirichlet(np.ones(8), 2).T)
     for w in ("abab", "baba", "aqb", "a"):
         assert np.allclose(seg.log_probs([w])[0], brute_log(seg, w))
+    # long words are summed whole: the same as by exact fractions
+    from fractions import Fraction
+
+    for w in ("ab" * 100, "q" * 60 + "aba" * 20):
+        sums = [[Fraction(1)] * 2] + [[Fraction(0)] * 2 for _ in range(len(w) + 1)]
+        text = langid.START + w
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + 3) + 1):
+                p = seg.probs[pieces.index(text[i:j])] if text[i:j] in pieces else [langid.UNSEEN] * 2 if j == i + 1 else [0, 0]
+                for g in (0, 1):
+                    sums[j][g] += sums[i][g] * Fraction(float(p[g]))
+        want = [math.log(x.numerator) - math.log(x.denominator) for x in sums[len(text)]]
+        assert np.allclose(seg.log_probs([w])[0], want)
+
+
+def test_langid_takes_all_languages_and_only_letters(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS", 5)
+    rows = [(k, "tion ing the " * 5, "big") for k in range(400)] + [(1000 + k, "schrift zwei ung " * 5, "rare") for k in range(2)]
+    rows += [(2000, "½ ² Ⅷ", None), (2001, "schrift zwei", None)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary("piece_bpe_32k.model")).collect()}
+    assert (got[2000]["lang_pred"], got[2000]["score"]) == ("und", 0) and got[2001]["lang_pred"] == "rare"
+    assert langid.letters("a½b Ⅷ é_1²") == ["a", "b", "é"]
 
 
 def test_langid_learns_and_handles_edges(spark, edge):
@@ -84,7 +106,7 @@ def test_langid_learns_and_handles_edges(spark, edge):
     got = {r["doc_id"]: r for r in langid.identify(df, vocabulary("piece_bpe_32k.model")).collect()}
     assert len(got) == len(rows)
     assert all(got[k]["lang_pred"] == ("aa", "bb")[k % 2] for k in range(60))
-    assert all(got[100 + k]["lang_pred"] == "und" and got[100 + k]["score"] == 0 for k, t in enumerate(edge) if not t or not re.search(r"[^\W\d_]", t))
+    assert all(got[100 + k]["lang_pred"] == "und" and got[100 + k]["score"] == 0 for k, t in enumerate(edge) if not any(c.isalpha() for c in t or ""))
     assert not got[None]["held_out"]
     assert langid.identify(df.limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
 
@@ -203,9 +225,40 @@ def test_pii_finds_and_redacts(spark, prose, edge):
     assert pii.find(df.limit(0)).count() == 0
 
 
-def test_pii_reconciles_by_total_score():
-    found = {("email", 0, 5): 1.0, ("email", 3, 9): 1.5, ("ip", 9, 12): 1.0, ("ip", 5, 9): 1.0}
-    assert pii.reconciled(found) == [("email", 0, 5), ("ip", 5, 9), ("ip", 9, 12)]
+def test_pii_best_paths_equal_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for t in (1, 2, 4):
+        e = rng.normal(size=(t, pii.TAGS)) * 3
+        fine = lambda p: not (p[0] and p[0] % 2 == 0) and all(pii.ALLOWED[a, b] for a, b in zip(p, p[1:]))
+        want = max((p for p in itertools.product(range(pii.TAGS), repeat=t) if fine(p)), key=lambda p: sum(e[k, x] for k, x in enumerate(p)))
+        longer = rng.normal(size=(9, pii.TAGS))
+        assert pii.best_paths([longer, e])[1].tolist() == list(want)
+
+
+def test_pii_network_adds_what_the_patterns_miss(spark, prose):
+    rng = random.Random(2)
+    n = lambda k: str(rng.randrange(10 ** (k - 1), 10**k))
+    mail, phone, ip = (lambda: f"u{n(2)}@mail{n(1)}.example.com"), (lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}"), (lambda: ".".join(str(rng.randrange(256)) for _ in range(4)))
+    rows = [(k, f"{prose(12, k)} {(mail, phone, ip)[k % 3]()} {prose(12, k + 1)}") for k in range(600)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    missed = [("email", f"{rng.choice('abc')}{n(3)} at mail{n(1)} dot example dot com") for _ in range(20)] + [("email", f"max{n(2)}[at]mail{n(1)}[dot]example[dot]com") for _ in range(20)]
+    missed += [("phone", f"({n(3)}) {n(3)}-{n(4)}") for _ in range(20)] + [("phone", f"{n(3)}-{n(3)}-{n(4)}") for _ in range(20)] + [("ip", ip().replace(".", "[.]")) for _ in range(20)]
+    texts, want = [], []
+    for k, (kind, x) in enumerate(missed):
+        left = prose(15, 700 + k) + " "
+        texts.append(left + x + " " + prose(15, 800 + k))
+        want.append((kind, len(left), len(left) + len(x)))
+    assert all(pii.base_spans(t) == [] for t in texts)
+    got = pii.added_spans(texts, model)
+    found = sum(w in g for g, w in zip(got, want))
+    assert found >= 0.8 * len(want), [t for t, g, w in zip(texts, got, want) if w not in g][:5]
+    clean = [f"{prose(10, k)} {x} {prose(10, k + 9)}" for k, x in enumerate(["2024-05-17", "version 3.11.4", "at 10.30", "1,234,567.89", "look at the dot", "555", "12:30:45", "1990 - 2000", "4.0."] * 4)]
+    assert pii.added_spans(clean, model) == [[]] * len(clean)
+    # spans longer than a window, and marks all over a long text
+    long_ = "x" * 90 + f"{n(2)}@mail.example.com"
+    assert pii.added_spans([long_], model) == [[]] and pii.added_spans(["1" * 20_000, "", " dot " * 3000], model)[1:] == [[], []]
 
 
 def test_decontamination_equals_brute_force(spark, prose, edge):
@@ -214,12 +267,12 @@ def test_decontamination_equals_brute_force(spark, prose, edge):
     near[1] = "changed"
     far = prose(40, 1).split()
     far[5] = far[15] = far[25] = far[33] = "changed"
-    texts = [prose(200, 50) + " " + prose(40, 1) + " " + prose(60, 51), " ".join(near), " ".join(far), prose(100, 52), "say only three words!", prose(25, 2) + " x " + prose(40, 1), *edge]
+    texts = [prose(200, 50) + " " + prose(40, 1) + " " + prose(60, 51), " ".join(near), " ".join(far), prose(100, 52), "say only three words!", prose(25, 2) + " x " + prose(40, 1), " ".join(prose(40, 1).split()[:38]), " ".join(prose(40, 1).split()[:30]), *edge]
     docs = spark.createDataFrame([(k, t, 0.0) for k, t in enumerate(texts)], "doc_id long, text string, similarity double")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()}
     want = {(k, i) for k, t in enumerate(texts) for i, x in items if x and brute_match(t or "", x)}
-    assert got == want and (0, 1) in got and (1, 1) in got and (2, 1) not in got
+    assert got == want and (0, 1) in got and (1, 1) in got and (2, 1) not in got and (6, 1) in got and (7, 1) not in got
     held = docs.filter(decontam.held_column(docs, bench)).count()
     assert held == len({d for d, _ in want})
     assert decontam.matches(docs, bench.limit(0)).count() == 0 == decontam.matches(docs.limit(0), bench).count()
@@ -232,8 +285,9 @@ def brute_match(text, item):
     k = min(5, len(b))
     grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     want = grams(b)
-    for s in range(len(a) - len(b) + 1):
-        own = grams(a[s : s + len(b)])
+    wide = min(len(a), len(b))
+    for s in range(len(a) - wide + 1 if wide >= k else 0):
+        own = grams(a[s : s + wide])
         if sum((own & want).values()) / sum((own | want).values()) >= 0.8:
             return True
     return False

@@ -77,7 +77,14 @@ def test_simhash_equals_brute_force(spark, docs_of, prose, edge, monkeypatch, bu
     assert [got[i]["component_id"] for i in ids] == [ids[order[want[pos[k]]]] for k in range(len(ids))]
 
 
-def test_simhash_nulls_repeats_and_one_of_each(spark, docs_of, prose):
+def test_simhash_nulls_repeats_and_one_of_each(spark, docs_of, prose, monkeypatch):
+    # the numbers in these texts stand for their fingerprints; a null doc_id is the bridge between two others
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "fingerprint_column", lambda text, shingle=3: simhash.F.col(text).cast("long") if isinstance(text, str) else text.cast("long"))
+        chain_ = docs_of(["0", "3", "15", "-1"], [1, None, 2, None])
+        chain_ = simhash.cut(simhash.linked(chain_), "chain").select("doc_id", "component_id")
+    bridge = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in chain_.collect())
+    assert bridge == [(-1, -1), (-1, 1), (1, 1), (2, 1)]
     texts = [prose(50, 1), prose(50, 1), prose(50, 2), prose(50, 3), prose(50, 1), prose(50, 9), prose(50, 2)]
     df = docs_of(texts, [4, 4, 7, None, None, None, 9])
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["component_id"]) for r in simhash.near_duplicates(df).collect() if r["doc_id"] is not None)
@@ -134,6 +141,23 @@ def test_pipeline_drops_near_copies_with_changed_words(spark, docs_of, prose):
     assert sorted(r["doc_id"] for r in p.drop_near_duplicates(spark, docs_of(texts), None).collect()) == [0, 2, 3]
 
 
+@pytest.mark.parametrize("of_each", [simhash.one_of_each, nearcopies.one_of_each])
+def test_one_of_each_keeps_columns_of_any_names(spark, prose, of_each):
+    names = ["m", "_id", "_c", "_of", "_fp", "fp", "id", "row", "of", "odd", "first", "component_id", "a.b"]
+    rows = [(4, prose(60, 1)), (4, prose(60, 1)), (None, prose(60, 1)), (None, prose(60, 2)), (None, prose(60, 2)), (6, prose(60, 3)), (6, prose(60, 4))]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ["doc_id", "text", *names])
+    got = of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, {(4, prose(60, 1)), (None, prose(60, 2)), (6, prose(60, 3)), (6, prose(60, 4))}))
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(7, v, 1), (None, [2.0, 0.0, 0.41], 1), (3, v, 1), (3, v, 1), (None, w, 2), (9, w, None)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(str, (tuple(r) for r in embdup.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(7, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, 0, None, False), (9, 0, 9, True)]))
+
+
 def brute_links(vecs, labels):
     n = len(vecs)
     fit = [v is not None and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for v, lab in zip(vecs, labels)]
