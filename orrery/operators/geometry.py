@@ -6,6 +6,7 @@ vertices once. Proximity is by grid buckets: equi-joins on cells whose size is t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from fractions import Fraction
 from itertools import product
@@ -122,9 +123,17 @@ def repair(cells: DataFrame, vertices: DataFrame, epsilon: float) -> tuple[DataF
     return c, vertices.join(c.select(F.explode("corner").alias("vid")).distinct(), "vid", "left_semi")
 
 
+def located(points: DataFrame, polygons: DataFrame, cell: float = 16.0) -> DataFrame:
+    """(poly_id, x, y, n, place) of the points (x, y, n) in the cells that a polygon's (poly_id, ring) bounding box touches; points elsewhere are outside of it. An equal join by cell."""
+    low, high = ({a: F.floor(pick(F.transform("ring", lambda p: p[a])) / cell).cast("long") for a in "xy"} for pick in (F.array_min, F.array_max))
+    boxes = polygons.withColumn("cx", F.explode(F.sequence(low["x"], high["x"]))).withColumn("cy", F.explode(F.sequence(low["y"], high["y"])))
+    at = points.withColumns({"c" + a: F.floor(F.col(a) / cell).cast("long") for a in "xy"})
+    return at.join(boxes, ["cx", "cy"]).select("poly_id", "x", "y", "n", locate("ring", F.struct("x", "y")).alias("place"))
+
+
 def connected(edge_list: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b) reaches, by label passing with shortcuts."""
-    both = edge_list.select("a", "b").union(edge_list.select("b", "a")).distinct().cache()
+    both = settled(edge_list.select("a", "b").union(edge_list.select("b", "a")).distinct())
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
     for k in range(rounds):
         low = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
@@ -140,9 +149,14 @@ def connected(edge_list: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint where the session has a folder for them; cached otherwise."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.cache()
+    """Lineage cut by a table in the shared folder that the session names in spark.checkpoint.dir; cached where it is unset (tests)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def within_radius(points: DataFrame, radius: float, dims: int = 3, others: DataFrame | None = None) -> DataFrame:

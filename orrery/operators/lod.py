@@ -51,34 +51,53 @@ def monotone(ladder: DataFrame) -> DataFrame:
     return ladder.withColumn("world_error_m", F.max("world_error_m").over(w))
 
 
-def select_rung(steps: DataFrame, radii: Sequence[float], slack: float = 0.1) -> DataFrame:
-    """Hysteretic rung of each asset along its steps (asset, step, distance): leaves a rung only when the distance is beyond its radius by a share of slack. A fold by asset."""
-    r = F.array(*(F.lit(float(x)) for x in radii))
+def select_rung(steps: DataFrame, radii: Sequence[float], slack: float = 0.15) -> DataFrame:
+    """Hysteretic rung of each asset along its steps (asset, step, distance); ``radii`` are those of rungs 1, 2, ...
+
+    The plain target is the coarsest rung whose radius the distance reaches, the widened one that for radii larger by a share
+    of slack. A rung finer than the widened target goes out to it, one coarser than the plain target comes in to it, any
+    other is held; the first step takes the plain target. Radii are a running maximum. A fold by asset."""
+    r = F.array(*(F.lit(float(x)) for x in np.maximum.accumulate(np.array(radii, float))))
     log = F.array_sort(F.collect_list(F.struct("step", "distance")))
 
     def step(acc: Column, s: Column) -> Column:
-        want = F.size(F.filter(r, lambda x: x < s["distance"]))
+        plain = F.size(F.filter(r, lambda x: s["distance"] >= x))
+        widened = F.size(F.filter(r, lambda x: s["distance"] >= x * (1 + slack)))
         held = F.try_element_at(acc, F.lit(-1))
-        up = F.size(F.filter(r, lambda x: x * (1 + slack) < s["distance"]))
-        down = F.size(F.filter(r, lambda x: x * (1 - slack) < s["distance"]))
-        return F.concat(acc, F.array(F.when(held.isNull(), want).when(up > held, up).when(down < held, down).otherwise(held)))
+        return F.concat(acc, F.array(F.when(held.isNull(), plain).otherwise(F.least(F.greatest(held, widened), plain))))
 
     return steps.groupBy("asset").agg(F.aggregate(log, F.array().cast("array<int>"), step).alias("rungs"))
 
 
+#: Names of the three ceilings of a budget, in the order in which they are tried.
+CEILINGS = ("props", "triangles", "bytes")
+
+
 def solve(groups: DataFrame, ceilings: Sequence[float], by: str = "frame") -> DataFrame:
-    """Greedy packing by (score desc, id): each item is taken while three running costs stay under their ceilings. Sequential, a frame at a time."""
+    """Rung of each candidate under three ceilings: ``by``, id, score, and c0, c1, c2, arrays of a cost by rung, finest first.
+
+    All begin at their coarsest rung. If that is over a ceiling, it is reported as binding and nothing moves. Else, by falling
+    score and then id, each candidate goes finer rung by rung, charged by the difference of costs, until it is refused; the
+    first refusal of a frame names its binding ceiling. Returns ``by``, id, rung, binding. Sequential, a frame at a time."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["score", "id"], ascending=[False, True])
-        used, taken = np.zeros(3), []
-        for c in f[["c0", "c1", "c2"]].to_numpy():
-            ok = bool((used + c <= np.array(ceilings)).all())
-            used = used + c if ok else used
-            taken.append(ok)
-        return f.assign(taken=taken)[[by, "id", "taken"]]
-
-    return groups.groupBy(by).applyInPandas(one, f"{by} long, id long, taken boolean")
+        costs = [np.array([r.c0, r.c1, r.c2], float) for r in f.itertuples()]
+        rungs, most = [c.shape[1] - 1 for c in costs], np.array(ceilings, float)
+        used = np.sum([c[:, -1] for c in costs], axis=0)
+        over = np.nonzero(used > most)[0]
+        binding = CEILINGS[over[0]] if len(over) else "none"
+        for n, c in enumerate(costs if not len(over) else []):
+            while rungs[n]:
+                want = used - c[:, rungs[n]] + c[:, rungs[n] - 1]
+                over = np.nonzero(want > most)[0]
+                if len(over):
+                    binding = CEILINGS[over[0]] if binding == "none" else binding
+                    break
+                used, rungs[n] = want, rungs[n] - 1
+        return f.assign(rung=rungs, binding=binding)[[by, "id", "rung", "binding"]]
+
+    return groups.groupBy(by).applyInPandas(one, f"{by} long, id long, rung int, binding string")
 
 
 def pyramid(voxels: DataFrame, levels: int) -> DataFrame:

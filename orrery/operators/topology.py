@@ -217,11 +217,18 @@ def isosurface(v: DataFrame, iso: float) -> DataFrame:
 
 
 def segment(v: DataFrame, seeds: dict[int, list[tuple[int, int, int]]], slow: float = 1.0) -> DataFrame:
-    """Class of each voxel by fast marching from seeds, slowed by the gradient: a volume is one group; ties go to the lesser class, then voxel."""
+    """Class of each voxel by fast marching from seeds, slowed by the gradient: a volume is one group; ties go to the lesser class, then voxel.
+
+    A voxel that several classes name is the last one's. ValueError without any seed; the run fails with one outside of a volume."""
+    if not any(seeds.values()):
+        raise ValueError("no seeds")
+    owner = {tuple(p): k for k, ps in seeds.items() for p in ps}
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         at = {(x, y, z): val for x, y, z, val in f[["x", "y", "z", "value"]].itertuples(index=False)}
-        heap = [(0.0, k, p) for k, ps in seeds.items() for p in ps if p in at]
+        if away := sorted(p for p in owner if p not in at):
+            raise ValueError(f"seeds outside of the volume: {away}")
+        heap = [(0.0, k, p) for p, k in owner.items()]
         heapq.heapify(heap)
         label: dict = {}
         while heap:

@@ -25,14 +25,31 @@ add("vol_seeds", lambda s, d: X.seeds_above(volume(s, d), 25), f"WITH {VOL} SELE
 
 
 def image(s, d):
-    return read(s, d, "embeddings").filter("vec_id < 64").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")).select("y", F.col("x").cast("long").alias("x"), F.lit(0).alias("c"), F.abs("v").cast("double").alias("v"))
+    """All vectors as the rows of one image."""
+    return read(s, d, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")).select("y", F.col("x").cast("long").alias("x"), F.lit(0).alias("c"), F.abs("v").cast("double").alias("v"))
 
 
-IMG = "img AS (SELECT vec_id AS y, unnest(range(64)) AS x, abs(unnest(embedding))::DOUBLE AS v FROM embeddings WHERE vec_id < 64)"
-add("image_resized", lambda s, d: X.resized_nearest(image(s, d), (64, 64), (20, 33)), f"WITH {IMG} SELECT i AS y, j AS x, 0 AS c, v FROM range(20) a(i), range(33) b(j), img WHERE img.y = floor((i + 0.5) * 64 / 20)::BIGINT AND img.x = floor((j + 0.5) * 64 / 33)::BIGINT")
+def height(s, d):
+    return (read(s, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+def resized(s, d):
+    n = height(s, d)
+    return X.resized_nearest(image(s, d), (n, 64), (n // 3, 33))
+
+
+def heights(s, d):
+    v = F.col("vec_id")
+    points_ = read(s, d, "embeddings").select(v.alias("id"), (v + v % 7 / F.lit(7.0) - 0.2).alias("pr"), (v % 59 * 1.3 - 2).alias("pc"))
+    return X.height_at(image(s, d).select(F.col("y").alias("r"), F.col("x").alias("c"), F.col("v").alias("h")), points_, height(s, d), 64)
+
+
+IMG = "img AS (SELECT vec_id AS y, unnest(range(64)) AS x, abs(unnest(embedding))::DOUBLE AS v FROM embeddings), n AS (SELECT max(vec_id) + 1 AS n FROM embeddings)"
+add("image_resized", resized, f"""WITH {IMG}, w AS (SELECT i AS y, j AS x, floor((i + 0.5::DOUBLE) * n / (n // 3))::BIGINT AS oy, floor((j + 0.5::DOUBLE) * 64 / 33)::BIGINT AS ox FROM (SELECT n, unnest(range(n // 3)) AS i FROM n), range(33) b(j))
+SELECT w.y, w.x, 0 AS c, v FROM w JOIN img ON img.y = oy AND img.x = ox""")
 add("image_converted", lambda s, d: X.converted(image(s, d), "f32", "u8"), f"WITH {IMG} SELECT y, x, 0 AS c, round(greatest(0.0, least(255.0, v * 255))) AS v FROM img")
-add("height_samples", lambda s, d: rounded(X.height_at(image(s, d).select(F.col("y").alias("r"), F.col("x").alias("c"), F.col("v").alias("h")), s.range(300).select("id", (F.col("id") % 67 / 1.1).alias("pr"), (F.col("id") % 59 * 1.3 - 2).alias("pc")), 64, 64), "h", "slope_r", "slope_c"), f"""WITH {IMG}, p AS (SELECT i AS id, greatest(0.0::DOUBLE, least(63.0, (i % 67) / 1.1::DOUBLE)) AS fr, greatest(0.0::DOUBLE, least(63.0, (i % 59) * 1.3::DOUBLE - 2)) AS fc FROM range(300) t(i)),
-b AS (SELECT *, least(floor(fr), 62)::BIGINT AS br, least(floor(fc), 62)::BIGINT AS bc FROM p), t AS (SELECT id, i, j, CASE i WHEN 1 THEN fr - br ELSE 1 - fr + br END AS wr, CASE j WHEN 1 THEN fc - bc ELSE 1 - fc + bc END AS wc, br + i AS r, bc + j AS c FROM b, range(2) x(i), range(2) y(j))
+add("height_samples", lambda s, d: rounded(heights(s, d), "h", "slope_r", "slope_c"), f"""WITH {IMG}, p AS (SELECT vec_id AS id, n, greatest(0.0::DOUBLE, least(n - 1.0::DOUBLE, vec_id + vec_id % 7 / 7.0::DOUBLE - 0.2::DOUBLE)) AS fr, greatest(0.0::DOUBLE, least(63.0, (vec_id % 59) * 1.3::DOUBLE - 2)) AS fc FROM embeddings, n),
+b AS (SELECT *, least(floor(fr), n - 2)::BIGINT AS br, least(floor(fc), 62)::BIGINT AS bc FROM p), t AS (SELECT id, i, j, CASE i WHEN 1 THEN fr - br ELSE 1 - fr + br END AS wr, CASE j WHEN 1 THEN fc - bc ELSE 1 - fc + bc END AS wc, br + i AS r, bc + j AS c FROM b, range(2) x(i), range(2) y(j))
 SELECT id, round(sum(wr * wc * v), 6) AS h, round(sum((2 * i - 1) * wc * v), 6) AS slope_r, round(sum(wr * (2 * j - 1) * v), 6) AS slope_c FROM t JOIN img ON img.y = r AND img.x = c GROUP BY id""")
 Q["vol_contrast"] = lambda s, d: rounded(X.contrast(volume(s, d).withColumn("vol_id", F.lit("v")), 0.95))
 Q["vol_vector_diffusion"] = lambda s, d: rounded(X.vector_diffusion(volume(s, d).select("x", "y", "z", (F.col("value") / 100).alias("vx"), F.sin("x").alias("vy"), F.cos("z").alias("vz")), 2), "vx", "vy", "vz")

@@ -81,45 +81,54 @@ add("polygon_measures", lambda s, d: r6(rings(s).select("poly_id", G.signed_area
 
 
 def located(s, d):
-    p = points(s, d).filter("id < 400").select("id", F.struct((F.col("id") % 31).alias("x"), (F.col("id") % 17).alias("y")).alias("p"))
-    near = rings(s).filter("poly_id < 10")
-    return near.join(p, (F.col("p.x") >= 0) & (F.col("p.x") <= 60)).select("poly_id", "id", G.locate("ring", F.col("p")).alias("place")).groupBy("poly_id", "place").agg(F.count("*").alias("n"))
+    p = points(s, d).groupBy((F.col("id") % 31).alias("x"), (F.col("id") % 17).alias("y")).agg(F.count("*").alias("n"))
+    polygons = rings(s)
+    hit = G.located(p, polygons).filter("place <> 'outside'").groupBy("poly_id", "place").agg(F.sum("n").alias("n"))
+    rest = polygons.select("poly_id").join(hit.groupBy("poly_id").agg(F.sum("n").alias("hit")), "poly_id", "left").crossJoin(p.agg(F.sum("n").alias("all")))  # one row
+    rest = rest.select("poly_id", F.lit("outside").alias("place"), (F.col("all") - F.coalesce("hit", F.lit(0))).alias("n")).filter("n > 0")
+    return hit.unionByName(rest)
 
 
-add("point_in_polygon", located, f"""WITH {RINGS}, p AS (SELECT c_custkey AS id, c_custkey % 31 AS px, c_custkey % 17 AS py FROM customer WHERE c_custkey < 400),
+add("point_in_polygon", located, f"""WITH {RINGS}, p AS (SELECT c_custkey AS id, c_custkey % 31 AS px, c_custkey % 17 AS py FROM customer),
 j AS (SELECT poly_id, id, bool_or((x1 - x) * (py - y) = (y1 - y) * (px - x) AND px BETWEEN least(x, x1) AND greatest(x, x1) AND py BETWEEN least(y, y1) AND greatest(y, y1)) AS rim,
-  count(*) FILTER ((y > py) <> (y1 > py) AND px < (x1 - x) * (py - y) / (y1 - y)::DOUBLE + x) % 2 = 1 AS odd FROM ed, p WHERE poly_id < 10 GROUP BY ALL)
+  count(*) FILTER ((y > py) <> (y1 > py) AND px < (x1 - x) * (py - y) / (y1 - y)::DOUBLE + x) % 2 = 1 AS odd FROM ed, p GROUP BY ALL)
 SELECT poly_id, CASE WHEN rim THEN 'boundary' WHEN odd THEN 'inside' ELSE 'outside' END AS place, count(*) AS n FROM j GROUP BY ALL""")
-add("polygon_booleans", lambda s, d: _booleans(s, d), """WITH a AS (SELECT DISTINCT c_custkey % 40 AS x, c_custkey % 29 AS y FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT DISTINCT c_custkey % 40, c_custkey % 29 FROM customer WHERE c_custkey % 5 < 2)
+add("polygon_booleans", lambda s, d: _booleans(s, d), """WITH a AS (SELECT DISTINCT c_custkey % 40 AS x, c_custkey % 29 AS y FROM customer), b AS (SELECT DISTINCT c_custkey % 37 AS x, c_custkey % 31 AS y FROM customer)
 SELECT 'union' AS op, (SELECT count(*) FROM (FROM a UNION FROM b)) AS n UNION ALL SELECT 'intersection', (SELECT count(*) FROM (FROM a INTERSECT FROM b)) UNION ALL SELECT 'subtract', (SELECT count(*) FROM (FROM a EXCEPT FROM b)) UNION ALL SELECT 'xor', (SELECT count(*) FROM ((FROM a EXCEPT FROM b) UNION ALL (FROM b EXCEPT FROM a)))""")
 
 
 def _booleans(s, d):
-    c = read(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 40).alias("x"), (F.col("c_custkey") % 29).alias("y"))
-    a, b, out = c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 5 < 2"), None
+    a, b = (read(s, d, "customer").select((F.col("c_custkey") % m).alias("x"), (F.col("c_custkey") % n).alias("y")).distinct() for m, n in ((40, 29), (37, 31)))
+    out = None
     for op in ("union", "intersection", "subtract", "xor"):
         n = G.boolean(a, b, op).agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
         out = n if out is None else out.union(n)
     return out
 
 
-add("mesh_components", lambda s, d: G.connected(read(s, d, "lineitem").filter("l_orderkey % 8 = 0").select((F.col("l_orderkey") % 1000).alias("a"), (F.col("l_partkey") % 1000 + 1000).alias("b")).distinct()), """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 1000 AS a, l_partkey % 1000 + 1000 AS b FROM lineitem WHERE l_orderkey % 8 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w(node, label) AS (SELECT a, a FROM s UNION SELECT s.b, w.label FROM w JOIN s ON s.a = w.node) SELECT node, min(label) AS label FROM w GROUP BY node""")
+# an order is linked to the next one by its odd lines: components are runs of order numbers
+add("mesh_components", lambda s, d: G.connected(read(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("b")).filter("a <> b").distinct()), """WITH k AS (SELECT DISTINCT l_orderkey AS a FROM lineitem WHERE l_linenumber % 2 = 1),
+g AS (SELECT a, a - row_number() OVER (ORDER BY a) AS run FROM k), l AS (SELECT a, min(a) OVER (PARTITION BY run) AS label FROM g)
+SELECT DISTINCT node, label FROM (SELECT a AS node, label FROM l UNION ALL SELECT a + 1, label FROM l)""")
 add("lod_parts", lambda s, d: L.partition_parts(read(s, d, "part").select((F.col("p_partkey") % 100).alias("cx"), (F.col("p_size") * 2).alias("cy"), F.lit(0).alias("cz"), F.col("p_size").alias("tris")), 16.0), "SELECT floor((p_partkey % 100) / 16.0)::BIGINT AS tx, floor(p_size * 2 / 16.0)::BIGINT AS ty, 0::BIGINT AS tz, count(*) AS parts, sum(p_size)::BIGINT AS tris FROM part GROUP BY ALL")
 add("lod_suffix_key", lambda s, d: read(s, d, "part").select("p_partkey", L.suffix_group_key("p_name", ["1", "22", "3"]).alias("key")), "SELECT p_partkey, CASE WHEN ends_with(p_name, '1') THEN p_name[:-2] WHEN ends_with(p_name, '22') THEN p_name[:-3] WHEN ends_with(p_name, '3') THEN p_name[:-2] ELSE p_name END AS key FROM part")
 add("lod_priority", lambda s, d: r6(read(s, d, "part").select("p_partkey", L.priority(F.col("p_size") * 1.0, F.col("p_retailprice")).alias("score"), L.screen_error_px(F.col("p_size") / 100, F.col("p_retailprice"), 1080, 1.0).alias("px"), L.switch_radius_m(F.col("p_size") / 100, 2.0, 1080, 1.0).alias("radius")), "score", "px", "radius"), "SELECT p_partkey, round(p_size / (1 + (p_retailprice / 1000) * (p_retailprice / 1000)), 6) AS score, round(p_size / 100.0::DOUBLE / p_retailprice * (1080 / (2 * tan(0.5::DOUBLE))), 6) AS px, round(p_size / 100.0::DOUBLE * (1080 / (2 * tan(0.5::DOUBLE))) / 2, 6) AS radius FROM part")
 add("lod_ladder", lambda s, d: L.monotone(read(s, d, "part").select((F.col("p_partkey") % 50).alias("asset"), F.col("p_partkey").alias("rung"), F.col("p_size").cast("double").alias("world_error_m"))), "SELECT p_partkey % 50 AS asset, p_partkey AS rung, max(p_size::DOUBLE) OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS world_error_m FROM part")
 add("lod_pyramid", lambda s, d: L.pyramid(volume(s, d), 3).groupBy("level").agg(F.count("*").alias("n"), F.sum("value").alias("total")), """WITH g AS (SELECT i % 7 AS x, (i // 7) % 16 AS y, i // 112 AS z FROM range(1792) t(i)), s AS (SELECT l_linenumber - 1 AS x, l_suppkey % 16 AS y, l_partkey % 16 AS z, sum(l_quantity) AS a FROM lineitem GROUP BY ALL), v AS (SELECT x, y, z, coalesce(a, 0.0) AS a FROM g LEFT JOIN s USING (x, y, z))
 SELECT k::INT AS level, count(*) AS n, sum(a) AS total FROM v, range(3) r(k) WHERE x % (2 ** k)::INT = 0 AND y % (2 ** k)::INT = 0 AND z % (2 ** k)::INT = 0 GROUP BY k""")
-Q["lod_solve"] = lambda s, d: L.solve(read(s, d, "part").select((F.col("p_partkey") % 20).alias("frame"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), F.col("p_size").cast("double").alias("c0"), (F.col("p_size") * 2.0).alias("c1"), F.lit(1.0).alias("c2")), (500.0, 900.0, 40.0))
-Q["lod_select_rung"] = lambda s, d: L.select_rung(read(s, d, "events").select((F.col("user_id") % 40).alias("asset"), F.col("event_id").alias("step"), F.col("value").alias("distance")), [20.0, 60.0, 150.0])
+Q["lod_solve"] = lambda s, d: L.solve(read(s, d, "part").select((F.col("p_partkey") % 20).alias("frame"), F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("score"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("c0"), F.array(F.col("p_size") * 4.0, F.col("p_size") * 2.0, F.lit(0.0)).alias("c1"), F.array(F.col("p_size") * 64.0, F.col("p_size") * 16.0, F.lit(0.0)).alias("c2")), (40.0, 1500.0, 30000.0))
+add("lod_select_rung", lambda s, d: L.select_rung(read(s, d, "events").select((F.col("user_id") % 40).alias("asset"), F.col("event_id").alias("step"), F.col("value").alias("distance")), [20.0, 60.0, 150.0]).select("asset", F.posexplode("rungs").alias("k", "rung")), """WITH RECURSIVE e AS (SELECT user_id % 40 AS asset, (row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1)::INT AS k, value AS d FROM events),
+t AS (SELECT asset, k, (d >= 20)::INT + (d >= 60)::INT + (d >= 150)::INT AS p, (d >= 20::DOUBLE * 1.15::DOUBLE)::INT + (d >= 60::DOUBLE * 1.15::DOUBLE)::INT + (d >= 150::DOUBLE * 1.15::DOUBLE)::INT AS w FROM e),
+r(asset, k, rung) AS (SELECT asset, k, p FROM t WHERE k = 0 UNION ALL SELECT t.asset, t.k, CASE WHEN r.rung < w THEN w WHEN r.rung > p THEN p ELSE r.rung END FROM r JOIN t ON t.asset = r.asset AND t.k = r.k + 1) SELECT asset, k, rung FROM r""")
 
 
 def occupied(s, d):
-    return read(s, d, "events").filter("event_id % 9 = 0").select((F.col("user_id") % 32).alias("r"), (F.col("event_id") % 48).alias("c")).distinct()
+    """Cells of all events; one is occupied if the last event in it has a number that 9 divides."""
+    cell = read(s, d, "events").groupBy((F.col("user_id") % 32).alias("r"), (F.col("event_id") % 48).alias("c"))
+    return cell.agg(F.max("event_id").alias("last")).filter("last % 9 = 0").select("r", "c")
 
 
-OCC = "occ AS (SELECT DISTINCT user_id % 32 AS r, event_id % 48 AS c FROM events WHERE event_id % 9 = 0)"
+OCC = "occ AS (SELECT user_id % 32 AS r, event_id % 48 AS c FROM events GROUP BY ALL HAVING max(event_id) % 9 = 0)"
 
 
 def lattice(s, d):
@@ -127,7 +136,7 @@ def lattice(s, d):
     return g.join(occupied(s, d).withColumn("o", F.lit(1)), ["r", "c"], "left").select("r", "c", F.coalesce("o", F.lit(0)).alias("occ"))
 
 
-add("grid_inflate", lambda s, d: L.inflate(occupied(s, d).filter("r % 5 = 0"), 2, 32, 48), f"WITH {OCC} SELECT DISTINCT i AS r, j AS c FROM range(32) x(i), range(48) y(j), occ WHERE occ.r % 5 = 0 AND abs(i - occ.r) + abs(j - occ.c) <= 2")
+add("grid_inflate", lambda s, d: L.inflate(occupied(s, d), 1, 32, 48), f"WITH {OCC} SELECT DISTINCT i AS r, j AS c FROM range(32) x(i), range(48) y(j), occ WHERE abs(i - occ.r) + abs(j - occ.c) <= 1")
 add("grid_edt", lambda s, d: L.edt2(lattice(s, d), 32, 48), f"WITH {OCC} SELECT i AS r, j AS c, min((i - occ.r) * (i - occ.r) + (j - occ.c) * (j - occ.c))::DOUBLE AS d2 FROM range(32) x(i), range(48) y(j), occ GROUP BY ALL")
 add("grid_clearance", lambda s, d: r6(L.edt2(lattice(s, d), 32, 48).select("r", "c", L.clearance_cost(F.col("d2"), 2.0, 4.0).alias("cost")), "cost"), f"WITH {OCC} SELECT i AS r, j AS c, round(2 * greatest(0.0, 4 - sqrt(min((i - occ.r) * (i - occ.r) + (j - occ.c) * (j - occ.c)))), 6) AS cost FROM range(32) x(i), range(48) y(j), occ GROUP BY i, j")
 add("grid_nearest_free", lambda s, d: L.nearest_free(occupied(s, d).select((F.col("r") * 48 + F.col("c")).alias("id"), "r", "c"), lattice(s, d).filter("occ = 0")).select("id"), f"WITH {OCC} SELECT r * 48 + c AS id FROM occ")
@@ -138,7 +147,7 @@ Q["grid_water"] = lambda s, d: L.water_bodies(occupied(s, d))
 
 def searched(s, d):
     g = np.zeros((32, 48), bool)
-    for r, c in occupied(s, d).filter("c % 4 > 0").collect():  # a grid of fixed size
+    for r, c in occupied(s, d).collect():  # a grid of fixed size
         g[r, c] = True
     return L.paths(s.range(30).select("id", F.lit(0).alias("r0"), (F.col("id") % 48).alias("c0"), F.lit(31).alias("r1"), (F.col("id") * 11 % 48).alias("c1")), g)
 

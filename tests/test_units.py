@@ -244,3 +244,60 @@ def test_patches():
     assert X.apply_patch(a, X.xor_patch(a, b)) == b and X.apply_patch(b"", X.xor_patch(b"", b"q")) == b"q"
     with pytest.raises(ValueError):
         X.apply_patch(b"z" * 500, X.xor_patch(a, b))
+
+
+def test_rungs_are_held_in_the_band(spark):
+    from orrery.operators import lod
+
+    def brute(ds, radii, slack):
+        out = []
+        for d in ds:
+            plain = max([k + 1 for k, r in enumerate(radii) if d >= r], default=0)
+            widened = max([k + 1 for k, r in enumerate(radii) if d >= r * (1 + slack)], default=0)
+            held = out[-1] if out else plain
+            out.append(widened if held < widened else plain if held > plain else held)
+        return out
+
+    rng = np.random.default_rng(1)
+    ds = [[10.0, 21.0, 23.1, 20.5, 19.9, 500.0, 150.0, 149.0], (rng.random(200) * 200).tolist()]
+    df = spark.createDataFrame([(a, k, d) for a, row in enumerate(ds) for k, d in enumerate(row)], "asset long, step long, distance double")
+    got = {r["asset"]: r["rungs"] for r in lod.select_rung(df, [20.0, 60.0, 150.0]).collect()}
+    assert [got[a] for a in range(2)] == [brute(row, [20.0, 60.0, 150.0], 0.15) for row in ds]
+    assert got[0] == [0, 0, 1, 1, 0, 3, 3, 2]
+
+
+def test_budget_promotes_rung_by_rung(spark):
+    from orrery.operators import lod
+
+    rows = [(0, 1, 9.0, [1.0, 1.0, 0.0], [8.0, 4.0, 0.0], [9.0, 3.0, 1.0]), (0, 2, 7.0, [1.0, 1.0, 0.0], [8.0, 4.0, 0.0], [9.0, 3.0, 1.0]), (0, 3, 7.0, [1.0, 1.0], [2.0, 1.0], [5.0, 5.0])]
+    rows += [(1, 4, 1.0, [0.0, 9.0], [0.0, 0.0], [0.0, 0.0]), (2, 5, 1.0, [1.0], [1.0], [1.0])]
+    df = spark.createDataFrame(rows, "frame long, id long, score double, c0 array<double>, c1 array<double>, c2 array<double>")
+    got = {r["id"]: (r["rung"], r["binding"]) for r in lod.solve(df, (3.0, 14.0, 100.0)).collect()}
+    # 1 goes to its finest (8 triangles), 2 to its middle rung (4) and is refused the next, 3 goes finer (2)
+    assert got == {1: (0, "triangles"), 2: (1, "triangles"), 3: (0, "triangles"), 4: (1, "props"), 5: (0, "none")}
+
+
+def test_segments_refuse_seeds_that_are_not_there(spark):
+    from orrery.operators import topology
+
+    v = spark.createDataFrame([("v", x, 0, 0, float(x > 2)) for x in range(6)], "vol_id string, x long, y long, z long, value double")
+    with pytest.raises(ValueError):
+        topology.segment(v, {1: []})
+    with pytest.raises(Exception, match="outside"):
+        topology.segment(v, {1: [(9, 0, 0)]}).collect()
+    got = {r["x"]: r["label"] for r in topology.segment(v, {1: [(0, 0, 0), (5, 0, 0)], 2: [(5, 0, 0)]}, 10.0).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
+
+
+def test_points_meet_polygons_in_cells(spark):
+    from orrery.operators import geometry as G
+
+    rng = np.random.default_rng(3)
+    ring = [(0, 0), (40, 3), (35, 30), (20, 12), (2, 28)]
+    pts = spark.createDataFrame([(int(a), int(b), 1) for a, b in rng.integers(-5, 50, (300, 2))], "x long, y long, n long")
+    poly = spark.createDataFrame([(1, [{"x": a, "y": b} for a, b in ring])], "poly_id long, ring array<struct<x:long,y:long>>")
+    F = G.F
+    want = {(r["x"], r["y"], r["place"]) for r in pts.crossJoin(poly).select("x", "y", G.locate("ring", F.struct("x", "y")).alias("place")).collect() if r["place"] != "outside"}
+    for cell in (7.0, 16.0, 100.0):
+        assert {(r["x"], r["y"], r["place"]) for r in G.located(pts, poly, cell).collect() if r["place"] != "outside"} == want
+    assert len(want) > 50
