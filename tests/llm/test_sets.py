@@ -376,3 +376,15 @@ def test_pipeline_stages(spark, sf_dir):
     fp = [brute_print(r[0]) for r in kept.select("text").collect()]
     assert len(set(fp)) > 0.95 * len(fp)
     assert kept.filter("doc_id < 0").count() == 0
+
+
+def test_pipeline_stages_on_edge_cases(spark, sf_dir, prose, edge):
+    import corpus_pipeline as p
+
+    rows = [(k, t, 1, "x") for k, t in enumerate([prose(50, 1), prose(50, 1), *edge])] + [(None, prose(50, 1), 2, "y"), (None, None, 3, "z"), (0, prose(50, 1), 4, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m int, score string").withColumnRenamed("m", "_id")
+    for docs in (df, df.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            kept = stage(spark, docs, sf_dir)
+            assert kept.columns == docs.columns and kept.count() <= docs.count(), name
+        assert p.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
