@@ -37,22 +37,31 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, as an unsigned number."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles in order, repeats included; of a text without words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, len(words))
     starts = np.concatenate([[0], ends[: len(words) - k]]).tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], "<u8")
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], "<u8")
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 of none."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(found), 1 << 16):
+        part = found[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, as an unsigned number."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprint_column(text: str | Column = "text", shingle: int = SHINGLE) -> Column:

@@ -112,7 +112,11 @@ def changed(text, n, seed):
     return " ".join(w)
 
 
-def test_near_copies_equal_brute_force(spark, docs_of, prose, edge):
+@pytest.mark.parametrize("tokens, pivots", [(nearcopies.TOKENS, nearcopies.PIVOTS), (700, 1), (400, 0)])
+def test_near_copies_equal_brute_force(spark, docs_of, prose, edge, monkeypatch, tokens, pivots):
+    """Also where each group is split into blocks of two sets or one, with and without pivots."""
+    monkeypatch.setattr(nearcopies, "TOKENS", tokens)
+    monkeypatch.setattr(nearcopies, "PIVOTS", pivots)
     texts = [prose(300, k) for k in range(12)] + [changed(prose(300, k % 6), n, 10 * n + k) for k in range(12) for n in (1, 2, 4, 7)] + [prose(300, 3) + " end", *edge]
     ids = [k * 7 % 211 for k in range(len(texts))]
     order = np.argsort(ids).tolist()
@@ -122,6 +126,17 @@ def test_near_copies_equal_brute_force(spark, docs_of, prose, edge):
     assert [got[ids[o]] for o in order] == [ids[order[w]] for w in want]
 
 
+def test_crossed_connects_what_is_alike():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 10, 14).astype(np.int64)) for _ in range(60)]
+    few, many = sets[:25], sets[25:]
+    like = [(i, j) for i, a in enumerate(few) for j, b in enumerate(many) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9]
+    got = list(zip(*(x.tolist() for x in nearcopies.crossed(few, many, np.arange(len(many)), 0.8))))
+    assert set(got) <= set(like) and len(got) < len(like)
+    joined = lambda pairs: reach(60, [(25 + j, i) for i, j in pairs])
+    assert joined(got) == joined(like)
+
+
 def test_near_copies_nulls_and_repeats(spark, docs_of, prose):
     t = [prose(200, k) for k in range(5)]
     texts = [t[0], t[0], t[1], changed(t[1], 2, 1), changed(t[0], 2, 2), t[2], changed(t[2], 2, 3), t[3], t[4], changed(t[1], 1, 4)]
