@@ -291,10 +291,11 @@ def paths(queries: DataFrame, grid_: np.ndarray) -> DataFrame:
 
 
 def water_bodies(cells: DataFrame) -> DataFrame:
-    """4-connected components of cells (r, c): r, c, body (the least cell number)."""
+    """4-connected components of cells (r, c; 0 <= c < 2**32 - 1, so a row's end never touches the next row): r, c, body (the least r * 2**32 + c)."""
     from .geometry import connected
 
-    n = cells.select((F.col("r") * 1_000_000 + F.col("c")).alias("n"))
-    pairs = n.select(F.col("n").alias("a"), F.explode(F.array(F.col("n") + 1, F.col("n") + 1_000_000)).alias("b"))
+    row = 1 << 32
+    n = cells.select((F.col("r") * F.lit(row) + F.col("c")).alias("n"))
+    pairs = n.select(F.col("n").alias("a"), F.explode(F.array(F.col("n") + 1, F.col("n") + F.lit(row))).alias("b"))
     linked = connected(pairs.join(n.withColumnRenamed("n", "b"), "b", "left_semi").select("a", "b"))
-    return n.join(linked, F.col("n") == F.col("node"), "left").select(F.floor(F.col("n") / 1_000_000).alias("r"), (F.col("n") % 1_000_000).alias("c"), F.coalesce("label", "n").alias("body"))
+    return n.join(linked, F.col("n") == F.col("node"), "left").select(F.shiftright("n", 32).alias("r"), F.col("n").bitwiseAND(F.lit(row - 1)).alias("c"), F.coalesce("label", "n").alias("body"))

@@ -53,6 +53,7 @@ b AS (SELECT *, least(floor(fr), n - 2)::BIGINT AS br, least(floor(fc), 62)::BIG
 SELECT id, round(sum(wr * wc * v), 6) AS h, round(sum((2 * i - 1) * wc * v), 6) AS slope_r, round(sum(wr * (2 * j - 1) * v), 6) AS slope_c FROM t JOIN img ON img.y = r AND img.x = c GROUP BY id""")
 Q["vol_contrast"] = lambda s, d: rounded(X.contrast(volume(s, d).withColumn("vol_id", F.lit("v")), 0.95))
 Q["vol_vector_diffusion"] = lambda s, d: rounded(X.vector_diffusion(volume(s, d).select("x", "y", "z", (F.col("value") / 100).alias("vx"), F.sin("x").alias("vy"), F.cos("z").alias("vz")), 2), "vx", "vy", "vz")
-Q["vol_fft"] = lambda s, d: rounded(X.fft2(volume(s, d)), "re", "im")
+add("vol_fft", lambda s, d: X.fft2(volume(s, d)).select("x", "y", "z", *((F.round(k, 5) + F.lit(0.0)).alias(k) for k in ("re", "im"))), f"""WITH {VOL}, t AS (SELECT u.x, u.y, v.z, v.a, -2 * pi() * (u.x * v.x / 7.0::DOUBLE + u.y * v.y / 16.0::DOUBLE) AS w
+  FROM vol v, (SELECT i % 7 AS x, i // 7 AS y FROM range(112) r(i)) u) SELECT x, y, z, round(sum(a * cos(w)), 5) + 0.0 AS re, round(sum(a * sin(w)), 5) + 0.0 AS im FROM t GROUP BY x, y, z""")
 Q["scatter"] = lambda s, d: X.scatter(s, 500, (0, 0, 10, 20), 7)
 Q["grid_sense"] = lambda s, d: X.sense(s.range(40).select((F.col("id") % 4).alias("plane"), F.col("id").alias("step"), (F.col("id") % 16 + 5).alias("r"), (F.col("id") * 3 % 16 + 5).alias("c")), np.add.outer(np.arange(26), np.arange(26)) % 7 == 0, 6)

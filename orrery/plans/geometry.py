@@ -142,7 +142,8 @@ add("grid_clearance", lambda s, d: r6(L.edt2(lattice(s, d), 32, 48).select("r",
 add("grid_nearest_free", lambda s, d: L.nearest_free(occupied(s, d).select((F.col("r") * 48 + F.col("c")).alias("id"), "r", "c"), lattice(s, d).filter("occ = 0")).select("id"), f"WITH {OCC} SELECT r * 48 + c AS id FROM occ")
 Q["grid_sdf"] = lambda s, d: r6(L.build_sdf(lattice(s, d), 32, 48), "sdf", "gr", "gc")
 Q["grid_line_of_sight"] = lambda s, d: L.line_of_sight(s.range(100).select("id", (F.col("id") % 32).alias("r0"), (F.col("id") % 48).alias("c0"), (F.col("id") * 7 % 32).alias("r1"), (F.col("id") * 5 % 48).alias("c1")), occupied(s, d))
-Q["grid_water"] = lambda s, d: L.water_bodies(occupied(s, d))
+add("grid_water", lambda s, d: L.water_bodies(occupied(s, d)), f"""WITH RECURSIVE {OCC}, met(r, c, body) AS (SELECT r, c, r * 4294967296 + c FROM occ
+  UNION SELECT o.r, o.c, m.body FROM met m JOIN occ o ON abs(o.r - m.r) + abs(o.c - m.c) = 1) SELECT r, c, min(body) AS body FROM met GROUP BY r, c""")
 
 
 def searched(s, d):
