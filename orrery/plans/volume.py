@@ -89,7 +89,10 @@ w AS (SELECT *, (CASE i WHEN 1 THEN px - bx ELSE 1 - px + bx END) * (CASE j WHEN
 SELECT {keys}, round(sum(w * a), 5) AS value FROM w JOIN vol v ON v.x = bx + i AND v.y = by_ + j AND v.z = bz + k GROUP BY ALL"""
 add("vol_resize", lambda s, d: rounded(V.resize(volume(s, d), DIMS, (5, 9, 6)), n=5), TRILINEAR.format(vol=VOL, mx=5, keys="ox AS x, oy AS y, oz AS z", points="SELECT o.i AS ox, q.i AS oy, r.i AS oz, o.i * (6 / 4.0::DOUBLE) AS px, q.i * (15 / 8.0::DOUBLE) AS py, r.i * (15 / 5.0::DOUBLE) AS pz FROM range(5) o(i), range(9) q(i), range(6) r(i)"))
 add("vol_interpolate", lambda s, d: rounded(V.interpolate(volume(s, d), s.range(200).select("id", (F.col("id") % 13 / 2.2).alias("wx"), (F.col("id") % 29 / 2).alias("wy"), (F.col("id") % 31 / 2.1).alias("wz")), BOX, DIMS, "id"), n=5), TRILINEAR.format(vol=VOL, mx=5, keys="id", points="SELECT i AS id, (i % 13) / 2.2::DOUBLE AS px, (i % 29) / 2.0::DOUBLE AS py, (i % 31) / 2.1::DOUBLE AS pz FROM range(200) u(i)"))
-Q["vol_rotate_z"] = lambda s, d: rounded(V.rotate_z(volume(s, d), 30, DIMS), n=4)
+add("vol_rotate_z", lambda s, d: rounded(V.rotate_z(volume(s, d), 30, DIMS), n=4), f"""WITH {VOL}, t AS (SELECT x, y, z, round((x - 3) * cos(radians(-30)) - (y - 7.5::DOUBLE) * sin(radians(-30)) + 3, 9) AS px,
+  round((x - 3) * sin(radians(-30)) + (y - 7.5::DOUBLE) * cos(radians(-30)) + 7.5::DOUBLE, 9) AS py FROM vol),
+w AS (SELECT t.x, t.y, t.z, sum(v.a * (1 - abs(px - v.x)) * (1 - abs(py - v.y))) AS s FROM t JOIN vol v ON v.z = t.z AND abs(px - v.x) < 1 AND abs(py - v.y) < 1 WHERE px BETWEEN 0 AND 6 AND py BETWEEN 0 AND 15 GROUP BY ALL)
+SELECT x, y, z, round(coalesce(s, 0.0), 4) AS value FROM vol LEFT JOIN w USING (x, y, z)""")
 Q["vol_project"] = lambda s, d: rounded(V.project(volume(s, d), [0, 45, 90], DIMS), n=4)
 Q["vol_back_project"] = lambda s, d: rounded(V.back_project(V.ramp_filter(V.project(volume(s, d), [0, 60, 120], DIMS)), [0, 60, 120], DIMS), n=4)
 add("vol_bricks", lambda s, d: V.bricked(volume(s, d), 4).groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), f"WITH {VOL} SELECT x // 4 AS bx, y // 4 AS by, z // 4 AS bz, count(*) AS n, min(a) AS low, max(a) AS high FROM vol GROUP BY ALL")
