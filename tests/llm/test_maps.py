@@ -133,6 +133,11 @@ def test_url_filter_equals_brute_force(spark):
     assert got == sorted(tuple(map(str, (i % 290, *judge(u)))) for i, u in enumerate(urls))
     assert urlfilter.judge(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(df, []).collect()} == {"allow"}
+    again = [*rules, *rules[::-1], ("", "/en/", "block")]
+    assert len(urlfilter.passes(again, 20)) > 3 and urlfilter.passes([], 20) == [[]]
+    assert sorted(tuple(map(str, r)) for r in urlfilter.judge(df, again, most=20).collect()) == got  # several passes
+    odd = spark.createDataFrame([(None, urls[-1]), (None, urls[-1]), (1, None)], "page_id long, url string")
+    assert urlfilter.judge(odd, rules, most=1).filter("page_id is null").count() == 2
 
 
 def test_toxicity_learns_and_ignores_groups(spark, prose):
