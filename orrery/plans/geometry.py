@@ -141,7 +141,11 @@ add("grid_edt", lambda s, d: L.edt2(lattice(s, d), 32, 48), f"WITH {OCC} SELECT
 add("grid_clearance", lambda s, d: r6(L.edt2(lattice(s, d), 32, 48).select("r", "c", L.clearance_cost(F.col("d2"), 2.0, 4.0).alias("cost")), "cost"), f"WITH {OCC} SELECT i AS r, j AS c, round(2 * greatest(0.0, 4 - sqrt(min((i - occ.r) * (i - occ.r) + (j - occ.c) * (j - occ.c)))), 6) AS cost FROM range(32) x(i), range(48) y(j), occ GROUP BY i, j")
 add("grid_nearest_free", lambda s, d: L.nearest_free(occupied(s, d).select((F.col("r") * 48 + F.col("c")).alias("id"), "r", "c"), lattice(s, d).filter("occ = 0")).select("id"), f"WITH {OCC} SELECT r * 48 + c AS id FROM occ")
 Q["grid_sdf"] = lambda s, d: r6(L.build_sdf(lattice(s, d), 32, 48), "sdf", "gr", "gc")
-Q["grid_line_of_sight"] = lambda s, d: L.line_of_sight(s.range(100).select("id", (F.col("id") % 32).alias("r0"), (F.col("id") % 48).alias("c0"), (F.col("id") * 7 % 32).alias("r1"), (F.col("id") * 5 % 48).alias("c1")), occupied(s, d))
+add("grid_line_of_sight", lambda s, d: L.line_of_sight(s.range(100).select("id", (F.col("id") % 32).alias("r0"), (F.col("id") % 48).alias("c0"), (F.col("id") * 7 % 32).alias("r1"), (F.col("id") * 5 % 48).alias("c1")), occupied(s, d)), f"""WITH RECURSIVE {OCC}, q AS (SELECT i AS id, i % 32 AS r0, i % 48 AS c0, i * 7 % 32 AS r1, i * 5 % 48 AS c1 FROM range(100) t(i)),
+d AS (SELECT *, abs(r1 - r0) AS dr, abs(c1 - c0) AS dc, CASE WHEN r1 > r0 THEN 1 ELSE -1 END AS sr, CASE WHEN c1 > c0 THEN 1 ELSE -1 END AS sc FROM q),
+b(id, r, c, err) AS (SELECT id, r0, c0, dc - dr FROM d
+  UNION ALL SELECT b.id, CASE WHEN 2 * err < dc THEN r + sr ELSE r END, CASE WHEN 2 * err > -dr THEN c + sc ELSE c END, err - CASE WHEN 2 * err > -dr THEN dr ELSE 0 END + CASE WHEN 2 * err < dc THEN dc ELSE 0 END FROM b JOIN d ON b.id = d.id WHERE r <> r1 OR c <> c1)
+SELECT b.id, count(occ.r) = 0 AS clear FROM b LEFT JOIN occ ON occ.r = b.r AND occ.c = b.c GROUP BY b.id""")
 add("grid_water", lambda s, d: L.water_bodies(occupied(s, d)), f"""WITH RECURSIVE {OCC}, met(r, c, body) AS (SELECT r, c, r * 4294967296 + c FROM occ
   UNION SELECT o.r, o.c, m.body FROM met m JOIN occ o ON abs(o.r - m.r) + abs(o.c - m.c) = 1) SELECT r, c, min(body) AS body FROM met GROUP BY r, c""")
 

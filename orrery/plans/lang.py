@@ -44,4 +44,4 @@ add("units_convert", lambda s, d: read(s, d, "part").select("p_partkey", F.round
 add("transfer_function", lambda s, d: read(s, d, "part").select("p_partkey", F.round(X.piecewise(F.col("p_size") / 50, [(0.0, 0.0), (0.3, 0.8), (1.0, 0.1)]), 6).alias("alpha")), "SELECT p_partkey, round(CASE WHEN t <= 0 THEN 0 WHEN t <= 0.3 THEN t / 0.3 * 0.8 WHEN t <= 1 THEN 0.8 + (t - 0.3) / 0.7 * -0.7 ELSE 0.1 END, 6) AS alpha FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS t FROM part)")
 add("colormap", lambda s, d: read(s, d, "part").select("p_partkey", X.colormap(F.col("p_size") * 1.0, 1, 50, [(0.0, (0, 0, 255)), (1.0, (255, 0, 0))]).alias("c")).select("p_partkey", F.col("c")[0].alias("r"), F.col("c")[1].alias("g"), F.col("c")[2].alias("b")), "SELECT p_partkey, round((p_size - 1) / 49.0::DOUBLE * 255)::INT AS r, 0 AS g, round(255 - (p_size - 1) / 49.0::DOUBLE * 255)::INT AS b FROM part")
 add("wave_spectrum", lambda s, d: s.range(1, 60).select("id", F.round(X.jonswap(F.col("id") / 20, 0.9), 6).alias("density")), "SELECT i AS id, round(0.0081 * 9.81 * 9.81 / (w ** 5) * exp(-1.25 * (0.9 / w) ** 4) * 3.3 ** exp(-((w - 0.9) ** 2) / (2 * sg * sg * 0.81)), 6) AS density FROM (SELECT i, i / 20.0::DOUBLE AS w, CASE WHEN i / 20.0 <= 0.9 THEN 0.07::DOUBLE ELSE 0.09 END AS sg FROM range(1, 60) t(i))")
-Q["lang_generator"] = lambda s, d: L.collect_generator(read(s, d, "part"), lambda k, n: ((k, i * i) for i in range(n)), "p_partkey long, value long", "p_partkey", "p_size")
+add("lang_generator", lambda s, d: L.collect_generator(read(s, d, "part"), lambda k, n: ((k, i * i) for i in range(n)), "p_partkey long, value long", "p_partkey", "p_size"), "SELECT p_partkey, i * i AS value FROM (SELECT p_partkey, unnest(range(p_size)) AS i FROM part)")

@@ -88,7 +88,12 @@ add("state_vector_clocks", lambda s, d: read(s, d, "orders").select("o_orderkey"
 add("state_blob_digests", lambda s, d: T.blobs(read(s, d, "documents"), "text").select("digest", F.octet_length("data").cast("long").alias("bytes")), "SELECT sha256(text) AS digest, any_value(strlen(text)) AS bytes FROM documents GROUP BY 1")
 add("state_chunks", lambda s, d: T.chunked(read(s, d, "pages"), "page_id", "html", 1024).groupBy("page_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("data")).alias("bytes")), "SELECT page_id, ceil(strlen(html) / 1024.0)::BIGINT AS chunks, strlen(html) AS bytes FROM pages WHERE html <> ''")
 add("state_missing_chunks", lambda s, d: T.missing_chunks(T.blobs(read(s, d, "documents"), "text").select("digest"), T.blobs(read(s, d, "documents").filter("doc_id % 2 = 0"), "text")), "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
-Q["state_hash_partition"] = lambda s, d: mutations(s, d).select("path").distinct().select("path", T.fnv1a("path").alias("hash"), T.partition_of("path", 16).alias("part"))
+add("state_hash_partition", lambda s, d: mutations(s, d).select("path").distinct().select("path", T.fnv1a("path").alias("hash"), T.partition_of("path", 16).alias("part")), f"""WITH {MUT}, p AS (SELECT DISTINCT path FROM mut),
+h AS (SELECT path, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(path, ''), lambda c: ascii(c)::BIGINT)), lambda x, b: xor(x, b) * 16777619 % 4294967296) AS hash FROM p)
+SELECT path, hash, (hash * 16 // 4294967296)::INT AS part FROM h""")
 Q["state_settle"] = lambda s, d: T.settle(mutations(s, d).withColumns({"arrival": F.col("event_id"), "hlc": F.when(F.col("event_id") % 4 > 0, F.col("hlc"))}))
 Q["state_admit"] = lambda s, d: T.admit(mutations(s, d).withColumn("arrival", F.col("event_id")), mutations(s, d).filter("event_id % 5 = 0"), ["click", "view"])
-Q["state_links"] = lambda s, d: T.resolve_links(s, read(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("n"), ((F.col("n_nationkey") * 7 + 3) % 31).cast("string")).alias("target")))
+add("state_links", lambda s, d: T.resolve_links(s, read(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("n"), ((F.col("n_nationkey") * 7 + 3) % 31).cast("string")).alias("target"))), """WITH RECURSIVE links AS (SELECT 'n' || n_nationkey AS path, 'n' || ((n_nationkey * 7 + 3) % 31) AS target FROM nation),
+walk(path, at_, depth, cyclic) AS (SELECT path, target, 1, path = target FROM links
+  UNION ALL SELECT w.path, l.target, w.depth + 1, l.target = w.path FROM walk w JOIN links l ON l.path = w.at_ WHERE NOT w.cyclic AND w.depth < 32)
+SELECT path, arg_max(at_, depth) AS target, bool_or(cyclic) OR max(depth) >= 32 AS cyclic FROM walk GROUP BY path""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import surfaces as U
 from .bindings import read
-from .geometry import TETS, VERT, mesh, r6, rings, tets, vertices
+from .geometry import RINGS, TETS, VERT, mesh, r6, rings, tets, vertices
 
 Q, S = {}, {}
 
@@ -31,6 +31,11 @@ def roads(s, d):
 
 add("distance_to_road", roads, """WITH p AS (SELECT c_custkey AS id, (c_custkey % 101)::DOUBLE AS x, (c_custkey * 7 % 97)::DOUBLE AS y FROM customer), g AS (SELECT (s_suppkey * 3 % 89)::DOUBLE AS x0, (s_suppkey * 5 % 83)::DOUBLE AS y0 FROM supplier),
 t AS (SELECT id, x, y, x0, y0, greatest(0.0::DOUBLE, least(1.0, ((x - x0) * 7 + (y - y0) * 4) / 65)) AS t FROM p, g), m AS (SELECT id, min(sqrt((x0 + t * 7 - x) ** 2 + (y0 + t * 4 - y) ** 2)) AS d FROM t GROUP BY id) SELECT id, round(d, 6) AS d FROM m WHERE d <= 10""")
-Q["polygon_nesting"] = lambda s, d: U.nested(rings(s))
+add("polygon_nesting", lambda s, d: U.nested(rings(s)), f"""WITH {RINGS}, ar AS (SELECT poly_id, abs(sum(x * y1 - x1 * y)) / 2 AS area FROM ed GROUP BY poly_id),
+hit AS (SELECT o.poly_id AS id, e.poly_id AS outside, count(*) FILTER ((e.y > o.y) <> (e.y1 > o.y) AND o.x < e.x + (o.y - e.y) * (e.x1 - e.x) / (e.y1 - e.y)) AS n,
+  bool_or((e.x1 - e.x) * (o.y - e.y) = (e.y1 - e.y) * (o.x - e.x) AND o.x BETWEEN least(e.x, e.x1) AND greatest(e.x, e.x1) AND o.y BETWEEN least(e.y, e.y1) AND greatest(e.y, e.y1)) AS rim
+  FROM rings o JOIN ed e ON e.poly_id <> o.poly_id WHERE o.k = 0 GROUP BY ALL),
+up AS (SELECT id, arg_min(outside, (p.area, outside)) AS parent FROM hit JOIN ar p ON p.poly_id = outside JOIN ar q ON q.poly_id = id WHERE n % 2 = 1 AND NOT rim AND p.area > q.area GROUP BY id)
+SELECT ar.poly_id, parent FROM ar LEFT JOIN up ON up.id = ar.poly_id""")
 Q["mesh_edge_distance"] = lambda s, d: r6(U.edge_distance(mesh(s, d), vertices(s), [0]), "distance")
 Q["mesh_mean_curvature"] = lambda s, d: r6(U.mean_curvature(mesh(s, d), vertices(s)), "curvature")

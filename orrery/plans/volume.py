@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..model import AXES, as_voxel_type, in_box
@@ -93,6 +95,21 @@ add("vol_rotate_z", lambda s, d: rounded(V.rotate_z(volume(s, d), 30, DIMS), n=4
   round((x - 3) * sin(radians(-30)) + (y - 7.5::DOUBLE) * cos(radians(-30)) + 7.5::DOUBLE, 9) AS py FROM vol),
 w AS (SELECT t.x, t.y, t.z, sum(v.a * (1 - abs(px - v.x)) * (1 - abs(py - v.y))) AS s FROM t JOIN vol v ON v.z = t.z AND abs(px - v.x) < 1 AND abs(py - v.y) < 1 WHERE px BETWEEN 0 AND 6 AND py BETWEEN 0 AND 15 GROUP BY ALL)
 SELECT x, y, z, round(coalesce(s, 0.0), 4) AS value FROM vol LEFT JOIN w USING (x, y, z)""")
-Q["vol_project"] = lambda s, d: rounded(V.project(volume(s, d), [0, 45, 90], DIMS), n=4)
-Q["vol_back_project"] = lambda s, d: rounded(V.back_project(V.ramp_filter(V.project(volume(s, d), [0, 60, 120], DIMS)), [0, 60, 120], DIMS), n=4)
+
+
+def projected(angles):
+    """SQL of the ray sums ``pr`` at some angles."""
+    r = math.hypot(6, 15) / 2
+    rays = ", ".join(f"({k}, {math.cos(math.radians(a))!r}::DOUBLE, {math.sin(math.radians(a))!r}::DOUBLE)" for k, a in enumerate(angles))
+    return f"""WITH {VOL}, rays(angle, c, s) AS (VALUES {rays}),
+p AS (SELECT angle, u, oz, (u - 3) * c - (k - {r!r}::DOUBLE) * s + 3 AS px, (u - 3) * s + (k - {r!r}::DOUBLE) * c + 7.5::DOUBLE AS py FROM rays, range(7) d(u), range(16) e(oz), range({int(2 * r) + 1}) f(k)),
+pr AS (SELECT angle, u, oz AS z, sum(a * (1 - abs(px - x)) * (1 - abs(py - y))) AS value FROM p JOIN vol ON z = oz AND abs(px - x) < 1 AND abs(py - y) < 1 WHERE px BETWEEN 0 AND 6 AND py BETWEEN 0 AND 15 GROUP BY angle, u, oz)"""
+
+
+add("vol_project", lambda s, d: rounded(V.project(volume(s, d), [0, 45, 90], DIMS), n=4), projected([0, 45, 90]) + " SELECT angle, u, z, round(value, 4) AS value FROM pr")
+add("vol_back_project", lambda s, d: rounded(V.back_project(V.ramp_filter(V.project(volume(s, d), [0, 60, 120], DIMS)), [0, 60, 120], DIMS), n=4), projected([0, 60, 120]) + """,
+ker AS (SELECT m, sum(least(f, 7 - f) / 7.0::DOUBLE * cos(2 * pi() * f * m / 7)) / 7 AS h FROM range(7) a(m), range(7) b(f) GROUP BY m),
+flt AS (SELECT angle, z, w, sum(value * h) AS value FROM pr, range(7) o(w), ker WHERE m = (w - u + 7) % 7 GROUP BY angle, z, w),
+t AS (SELECT angle, x, y, z, (x - 3) * c + (y - 7.5::DOUBLE) * s + 3 AS at_ FROM vol, rays)
+SELECT x, y, t.z, round(sum((1 - abs(at_ - w)) * value) / 3, 4) AS value FROM t JOIN flt ON flt.angle = t.angle AND flt.z = t.z AND abs(at_ - w) < 1 WHERE at_ BETWEEN 0 AND 6 GROUP BY x, y, t.z""")
 add("vol_bricks", lambda s, d: V.bricked(volume(s, d), 4).groupBy("bx", "by", "bz").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), f"WITH {VOL} SELECT x // 4 AS bx, y // 4 AS by, z // 4 AS bz, count(*) AS n, min(a) AS low, max(a) AS high FROM vol GROUP BY ALL")
