@@ -143,20 +143,22 @@ def expected(seg: Segmenter, words: list[str], counts: np.ndarray) -> np.ndarray
 
 
 def least_hashes(rows: DataFrame, most: int) -> dict[str, int]:
-    """For each language the largest of the ``most`` least hashes of its documents' ids; tasks keep no more of each."""
-
-    def least(frames):
-        held: dict[str, np.ndarray] = {}
-        for f in frames:
-            for lang, h in f.groupby("lang")["h"]:
-                held[lang] = np.unique(np.concatenate([held.get(lang, np.zeros(0, np.int64)), h.to_numpy()]))[:most]
-        yield pd.DataFrame([(g, int(x)) for g, hs in held.items() for x in hs], columns=["lang", "h"]).astype({"lang": object, "h": "int64"})
-
-    def joined(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [f["lang"].iloc[0]], "h": [np.unique(f["h"])[:most][-1]]})
-
-    some = rows.select("lang", F.xxhash64("doc_id").alias("h")).mapInPandas(least, "lang string, h long")
-    return dict(some.groupBy("lang").applyInPandas(joined, "lang string, h long").collect())
+    """For each language the largest of the ``most`` least hashes of its documents' ids.
+
+    Hashes are even over 64 bits, so a bound for twice as many documents holds them; where ids repeat too often for that, it
+    rises until there are enough or it holds all. What a group gathers follows ``most``, not the documents or partitions."""
+    hashed = rows.select("lang", F.xxhash64("doc_id").alias("h"))
+    share = {lang: 2 * most / n for lang, n in hashed.groupBy("lang").count().collect()}
+    last = {}
+    while share:
+        tops = [(g, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63))) for g, s in share.items()]
+        bound = rows.sparkSession.createDataFrame(tops, "lang string, top long")  # a row for each language
+        below = hashed.join(F.broadcast(bound), "lang").filter("h <= top").groupBy("lang").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+        for lang, n, h in below.select("lang", F.size("hs"), F.element_at("hs", F.least(F.size("hs"), F.lit(most)))).collect():
+            if n >= most or share[lang] >= 1:
+                last[lang] = h
+        share = {g: 8 * s for g, s in share.items() if g not in last}
+    return last
 
 
 def train(docs: DataFrame, path: str) -> Segmenter | None:

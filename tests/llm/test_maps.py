@@ -306,3 +306,14 @@ def test_simhash_index_finds_all_within_radius(prose):
         for b in rng.sample(range(64), decontam.RADIUS):
             q ^= 1 << b
         assert n in index.within(q)
+
+
+def test_least_hashes_equal_a_sort(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("aaab"), i) for i in range(3000)] + [("a", 7)] * 3000 + [("c", 1)] * 50 + [("d", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, doc_id long")
+    held: dict[str, set] = {}
+    for r in df.selectExpr("lang", "xxhash64(doc_id) AS h").collect():
+        held.setdefault(r["lang"], set()).add(r["h"])
+    assert langid.least_hashes(df, 100) == {g: sorted(h)[:100][-1] for g, h in held.items()}
+    assert langid.least_hashes(df.limit(0), 100) == {}
