@@ -1,11 +1,15 @@
 """Queries on tables with larger values and more copies than the given ones, against their SQL and against brute force."""
 
+import contextlib
+import threading
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.model import as_voxel_type
+from orrery.operators import geometry as G
 from orrery.queries import ORACLES, QUERIES
 
 
@@ -19,6 +23,17 @@ def both(spark, name, folder, **tables):
     return sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*want.columns).collect())), sorted(want.fetchall())
 
 
+@contextlib.contextmanager
+def deadline(spark, seconds):
+    """Jobs that still run after these seconds are cancelled, so that what takes them fails."""
+    t = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    t.start()
+    try:
+        yield
+    finally:
+        t.cancel()
+
+
 def test_voxels_beyond_a_byte(spark, sf_dir, tmp_path):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_quantity", F.col("l_quantity") * 1000)
     got, want = both(spark, "voxel_type_uchar", tmp_path, lineitem=lines)
@@ -26,3 +41,24 @@ def test_voxels_beyond_a_byte(spark, sf_dir, tmp_path):
     assert max(r[3] for r in want) > 255
     with pytest.raises(ValueError):
         as_voxel_type("value", "uchar", "wrap")
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    a, b = (np.column_stack([rng.permutation(n), rng.integers(0, 40, (n, 2)) / 2 + rng.integers(0, 2, (n, 1)) * 60]) for n in (150, 90))
+    a[:5, 1:], a[5:9, 1] = a[0, 1:], 500  # copies, and points with nothing near
+    frame = lambda m: spark.createDataFrame([(int(i), float(x), float(y)) for i, x, y in m], "id long, x double, y double")
+    want = {}
+    for i, x, y in a:
+        near = min(((x - p) ** 2 + (y - q) ** 2, int(j)) for j, p, q in b)
+        if near[0] <= 9:
+            want[int(i)] = near[::-1]
+    assert {r["id"]: (r["other"], r["d2"]) for r in G.nearest(frame(a), frame(b), 3.0, 2).collect()} == want
+    assert 50 < len(want) < 150 and len({d for _, d in want.values()}) > 5
+
+
+def test_nearest_of_many_copies(spark):
+    p = spark.range(400000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    with deadline(spark, 60):
+        got = G.nearest(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), 12.0, 2).groupBy(F.col("id") % 3, "other", "d2").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 0.0, 66667), (1, 1, 0.0, 66666), (2, 5, 0.0, 66667)]
