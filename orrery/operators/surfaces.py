@@ -203,15 +203,18 @@ def culled(proxies: DataFrame, planes: Sequence[Sequence[float]], eye: Sequence[
 
 
 def distance_to_segments(points: DataFrame, segments: DataFrame, reach: float, size: float | None = None) -> DataFrame:
-    """(id, seg, d): nearest segment (seg, x0, y0, x1, y1) of each point (id, x, y) within reach; segments go to the grid cells of their grown boxes."""
+    """(id, seg, d): nearest segment (seg, x0, y0, x1, y1) of each point (id, x, y) within reach; segments go to the grid cells of
+    their grown boxes. Points at one place are looked up once, and of equal segments the least is met."""
     size = size or reach
     cell = lambda c: F.floor(c / size).cast("long")
-    s = segments
+    s = segments.groupBy("x0", "y0", "x1", "y1").agg(F.min("seg").alias("seg"))
     for a in "xy":
         s = s.withColumn("c" + a, F.explode(F.sequence(cell(F.least(a + "0", a + "1") - reach), cell(F.greatest(a + "0", a + "1") + reach))))
-    p = points.select("id", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).join(s, ["cx", "cy"])
+    p = G.places(points, ("x", "y")).withColumns({"c" + a: cell(F.col(a)) for a in "xy"}).join(s, ["cx", "cy"])
     ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     size2 = ex * ex + ey * ey
     t = F.when(size2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * ex + (F.col("y") - F.col("y0")) * ey) / size2))).otherwise(F.lit(0.0))
     d = F.sqrt(F.pow(F.col("x0") + t * ex - F.col("x"), 2) + F.pow(F.col("y0") + t * ey - F.col("y"), 2))
-    return p.withColumn("d", d).filter(F.col("d") <= reach).groupBy("id").agg(F.min_by("seg", F.struct("d", "seg")).alias("seg"), F.min("d").alias("d"))
+    near = p.withColumn("d", d).filter(F.col("d") <= reach).groupBy(F.col("id").alias("_place")).agg(F.min_by("seg", F.struct("d", "seg")).alias("seg"), F.min("d").alias("d"))
+    found = points.select("id", F.struct("x", "y").alias("_place")).join(near, "_place")
+    return found.groupBy("id").agg(F.min_by("seg", F.struct("d", "seg")).alias("seg"), F.min("d").alias("d"))

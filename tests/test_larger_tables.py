@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.model import as_voxel_type
 from orrery.operators import geometry as G
+from orrery.operators import surfaces as U
 from orrery.queries import ORACLES, QUERIES
 
 
@@ -62,3 +63,20 @@ def test_nearest_of_many_copies(spark):
     with deadline(spark, 60):
         got = G.nearest(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), 12.0, 2).groupBy(F.col("id") % 3, "other", "d2").count().collect()
     assert sorted(map(tuple, got)) == [(0, 3, 0.0, 66667), (1, 1, 0.0, 66666), (2, 5, 0.0, 66667)]
+
+
+def test_roads_equal_sql_and_the_least_of_equal_segments(spark, sf_dir, tmp_path):
+    twice = lambda df, key, by: df.unionByName(df.withColumn(key, F.col(key) + by))
+    people, firms = twice(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", 9797), twice(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", 7387)
+    got, want = both(spark, "distance_to_road", tmp_path, customer=people, supplier=firms)
+    assert got == want and len(want) > 50
+    p = spark.createDataFrame([(1, 0.0, 1.0), (2, 0.0, 1.0), (3, 90.0, 0.0)], "id long, x double, y double")
+    g = spark.createDataFrame([(s, -4.0, 0.0, 4.0, 0.0) for s in (9, 7)] + [(8, -4.0, 2.0, 4.0, 2.0), (5, -4.0, 3.0, 4.0, 3.0)], "seg long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(map(tuple, U.distance_to_segments(p, g, 5.0).collect())) == [(1, 7, 1.0), (2, 7, 1.0)]
+
+
+def test_roads_of_many_copies(spark):
+    p = spark.range(200000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    g = spark.range(100000).select(F.col("id").alias("seg"), F.lit(-4.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(4.0).alias("x1"), F.lit(0.0).alias("y1"))
+    with deadline(spark, 60):
+        assert [tuple(r) for r in U.distance_to_segments(p, g, 10.0).groupBy("seg", "d").count().collect()] == [(0, 1.0, 200000)]
