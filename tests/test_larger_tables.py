@@ -80,3 +80,21 @@ def test_roads_of_many_copies(spark):
     g = spark.range(100000).select(F.col("id").alias("seg"), F.lit(-4.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(4.0).alias("x1"), F.lit(0.0).alias("y1"))
     with deadline(spark, 60):
         assert [tuple(r) for r in U.distance_to_segments(p, g, 10.0).groupBy("seg", "d").count().collect()] == [(0, 1.0, 200000)]
+
+
+def test_hausdorff_beyond_the_radius_and_of_nothing(spark, sf_dir, tmp_path):
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey in (2, 4, 45)")
+    got, want = both(spark, "hausdorff", tmp_path, customer=people)
+    assert got == want and want[0][0] > 30
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 60, (80, 3)).astype(float), rng.integers(20, 90, (50, 3)).astype(float)
+    frame = lambda m: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(m)] + [(-1, float("nan"), 0.0, 0.0)], "id long, x double, y double, z double")
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    assert G.hausdorff(frame(a), frame(b), 40.0).first()[0] == pytest.approx(max(d.min(1).max(), d.min(0).max()))
+    assert G.hausdorff(frame(a), frame(b).limit(0), 40.0).first()[0] is None
+
+
+def test_hausdorff_of_many_copies(spark):
+    p = spark.range(400000).select("id", (F.col("id") % 4).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    with deadline(spark, 60):
+        assert G.hausdorff(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), 30.0).first()[0] == 1.0
