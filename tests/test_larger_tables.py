@@ -98,3 +98,22 @@ def test_hausdorff_of_many_copies(spark):
     p = spark.range(400000).select("id", (F.col("id") % 4).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     with deadline(spark, 60):
         assert G.hausdorff(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), 30.0).first()[0] == 1.0
+
+
+def test_neighbors_equal_brute_force_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    m = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-6, 6, (200, 2)))]
+    p = spark.createDataFrame(m, "id long, x double, y double")
+    want = sorted((i, j, (x - u) ** 2 + (y - v) ** 2) for i, x, y in m for j, u, v in m if i != j and (x - u) ** 2 + (y - v) ** 2 <= 4)
+    for block in (1, 3, 1024):
+        assert sorted(map(tuple, G.within_radius(p, 2.0, 2, block=block).collect())) == want
+    odd = spark.createDataFrame([(None, 0.0, 0.0), (7, None, 0.0), (8, float("nan"), 0.0)], "id long, x double, y double")
+    assert {tuple(r) for r in G.within_radius(p.filter("id = 0").withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}), 2.0, 2, odd).collect()} == {(0, None, 0.0)}
+
+
+def test_neighbors_of_many_copies_meet_by_place(spark):
+    p = spark.range(20000).select("id", (F.col("id") % 2 * 2.5).alias("x"), F.lit(0.0).alias("y"))
+    near = G.within_radius(p, 1.0, 2)
+    assert near.count() == 2 * 10000 * 9999
+    joins = [x for x in near._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "Aggregate" in near._jdf.queryExecution().optimizedPlan().toString()
